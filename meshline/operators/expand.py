@@ -76,13 +76,14 @@ def expand(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, how: Expansio
         if frontier.isEmpty():
             break
         seen = cut(seen.unionByName(frontier), "seen")
-    out = Subgraph(seen, None)
+    rest = [c for c in nodes.columns if c not in ("id", "label")]
+    out = Subgraph(nodes.join(seen.select("id", "hop"), "id").select("id", "label", "hop", *rest), None)
     if found is not None:
         back = e.select("src", "dst", "type")
         pairs = found.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), "type").distinct()
         kept = back.withColumns({"x": F.least("src", "dst"), "y": F.greatest("src", "dst")}).join(pairs, ["x", "y", "type"], "left_semi").select("src", "dst", "type").distinct()
         # both ends must be inside: the budget can cut a node off
-        out.edges = kept.join(seen.select(F.col("id").alias("src")), "src", "left_semi").join(seen.select(F.col("id").alias("dst")), "dst", "left_semi")
+        out.edges = kept.join(seen.select(F.col("id").alias("src")), "src", "left_semi").join(seen.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "type")
     return out
 
 

@@ -39,7 +39,7 @@ def merge_edges(rows: DataFrame, src_nodes: DataFrame, dst_nodes: DataFrame, key
     """Edges whose two ends exist, one for each key (SNK-04). A row with a
     missing end is dropped; `keys` can name properties that tell edges apart."""
     ends = rows.join(src_nodes.select(F.col("id").alias("src")), "src", "left_semi").join(dst_nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return ends.dropDuplicates(list(keys))
+    return ends.select(*rows.columns).dropDuplicates(list(keys))
 
 
 def merge_edges_set(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
@@ -85,7 +85,7 @@ def coalesced_edges(rows: DataFrame, column: str, tables: list[DataFrame]) -> Da
 def purge_orphans(nodes: DataFrame, required: DataFrame, dependants: list[DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
     """Nodes without an edge in `required` go, and their edges (SNK-10)."""
     kept = nodes.join(required.select(F.col("src").alias("id")), "id", "left_semi")
-    return kept, [e.join(kept.select(F.col("id").alias("src")), "src", "left_semi") for e in dependants]
+    return kept, [e.join(kept.select(F.col("id").alias("src")), "src", "left_semi").select(*e.columns) for e in dependants]
 
 
 def resolve_stale(state: DataFrame, poll: Column, reactivate: bool = False) -> DataFrame:
