@@ -56,7 +56,10 @@ HASHES = TokenHashes()
 
 
 def tokens(raw: bytes | None) -> np.ndarray:
-    words = (raw or b"").translate(WORD_BYTES).split()
+    raw = raw or b""
+    if not raw.isascii():
+        raw = raw.decode("utf-8", "replace").lower().encode()
+    words = raw.translate(WORD_BYTES).split()
     if len(HASHES) > 300_000:
         HASHES.clear()
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
