@@ -16,6 +16,18 @@ BATCH_ROWS = 512
 WORD_BYTES = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
+#: A worker process lives through many stages; each operator's caches are cleared
+#: when another operator begins in the process, so they never add up.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def begin(name: str, clear: Callable[[], None]) -> None:
+    """Operator `name` begins in this worker; `clear` empties its caches."""
+    for other in [x for x in CACHES if x != name]:
+        CACHES.pop(other)()
+    CACHES[name] = clear
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows that one Arrow batch holds, for tables of long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -47,13 +59,15 @@ def pieces(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Ite
         yield batch.slice(first, n - first)
 
 
-def filtered(docs: DataFrame, keep: Callable[[list, list], list], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, for which `keep(ids, texts as bytes or
-    None)` is true. No shuffle, and no column is added, so no name can clash."""
+def filtered(docs: DataFrame, keeper: Callable[[], Callable[[list, list], list]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, for which `keeper()(ids, texts as bytes
+    or None)` is true; `keeper` is called once for each task. No shuffle, and no
+    column is added, so no name can clash."""
     small_batches(docs.sparkSession)
     at_id, at_text = docs.columns.index(doc_id), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = keeper()
         for batch in batches:
             texts = [None if t is None else t.encode() for t in batch.column(at_text).to_pylist()]
             yield batch.filter(pa.array(keep(batch.column(at_id).to_pylist(), texts), pa.bool_()))

@@ -15,7 +15,7 @@ without any labelled row all are `und`; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshline.llm.common import by_hash, exact, filtered, id_and_text, pieces, small_batches
+from meshline.llm.common import begin, by_hash, exact, filtered, id_and_text, pieces, small_batches
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 #: The bound of the training sample: rows in all, dealt evenly to the languages, and windows of each row.
@@ -199,6 +199,7 @@ def identify(docs: DataFrame, network: Network, doc_id: str = "doc_id", text: st
     net = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid_cnn", lambda: None)
         scorer = Scorer(net.value)
         for whole in batches:
             for batch in pieces(whole, 1):
@@ -214,7 +215,9 @@ def keep_identified(docs: DataFrame, network: Network, languages: list[str] | No
     among `languages` where given; all columns."""
     net = docs.sparkSession.sparkContext.broadcast(network)
 
-    def keep(ids: list, texts: list[bytes | None]) -> list[bool]:
-        return [x != UNKNOWN and s >= least and (languages is None or x in languages) for x, s in Scorer(net.value).texts(texts)]
+    def keeper() -> Callable[[list, list], list]:
+        begin("langid_cnn", lambda: None)
+        scorer = Scorer(net.value)
+        return lambda ids, texts: [x != UNKNOWN and s >= least and (languages is None or x in languages) for x, s in scorer.texts(texts)]
 
-    return filtered(docs, keep)
+    return filtered(docs, keeper)

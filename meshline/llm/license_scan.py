@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from meshline.llm.common import WORD_BYTES, id_and_text, pieces
+from meshline.llm.common import WORD_BYTES, begin, id_and_text, pieces
 
 
 class Notice(NamedTuple):
@@ -147,6 +147,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     spans; score is the best 1 - edits / length, 0 without a match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("license_scan", scanner.cache_clear)
         scan = scanner(notices).scan
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32()), ("matched", pa.string())]))]
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]

@@ -13,7 +13,7 @@ kinds the model keeps what the rules keep.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshline.llm.common import by_hash, exact, filtered, id_and_text, pieces, small_batches
+from meshline.llm.common import begin, by_hash, exact, filtered, id_and_text, pieces, small_batches
 
 BITS = 16
 #: Rows of each label, and bytes of a row's excerpts, that training looks at.
@@ -204,6 +204,7 @@ def score_quality(docs: DataFrame, model: Model | None, doc_id: str = "doc_id",
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality_lr", WORD_HASHES.clear)
         m = held.value
         for whole in batches:
             for batch in pieces(whole, 1):
@@ -223,14 +224,17 @@ def keep_quality(docs: DataFrame, model: Model | None, threshold: float = THRESH
     """The rows of `docs` that score_quality() keeps, with all their columns."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def keep(ids: list, texts: list[bytes | None]) -> list[bool]:
-        out, m = [], held.value
-        for raw in texts:
+    def keeper() -> Callable[[list, list], list]:
+        begin("quality_lr", WORD_HASHES.clear)
+        m = held.value
+
+        def stays(raw: bytes | None) -> bool:
             n, _, _, _, again, words = measure(raw)
-            out.append(not base_failed(n, again) and (m is None or m.probability(raw or b"", words) >= threshold))
-        return out
+            return not base_failed(n, again) and (m is None or m.probability(raw or b"", words) >= threshold)
+
+        return lambda ids, texts: [stays(raw) for raw in texts]
 
-    return filtered(docs, keep)
+    return filtered(docs, keeper)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> Model | None:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from xxhash import xxh64_intdigest
 
-from meshline.llm.common import WORD_BYTES, exact, filtered, id_and_text, pieces
+from meshline.llm.common import WORD_BYTES, begin, exact, filtered, id_and_text, pieces
 
 #: Fixed masks; each looks at six tokens of at most ten.
 MASKS = ("1110111", "11011011", "110100111", "1101010011")
@@ -193,6 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def searcher(held, least: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("spaced_seed", HASHES.clear)
         ids, items = held.value
         table = Table.build(items)
         for whole in batches:
@@ -216,11 +217,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKE
 
 
 def keeper(held, least: int, share: float):
-    tables: dict[int, Table] = {}
+    def begun():
+        begin("spaced_seed", HASHES.clear)
+        table = Table.build(held.value)
+        return lambda ids, texts: [not table.overlaps(tokens(t), least, share) for t in texts]
 
-    def keep(ids: list, texts: list[bytes | None]) -> list[bool]:
-        if 0 not in tables:
-            tables[0] = Table.build(held.value)
-        return [not tables[0].overlaps(tokens(t), least, share) for t in texts]
-
-    return keep
+    return begun
