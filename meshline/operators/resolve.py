@@ -46,6 +46,22 @@ def search_codes(nodes: DataFrame, mention: str, code: str, name: str, k: int =
     return nodes.withColumn("score", score).where("score is not null").withColumn("display", F.coalesce(F.col(code), F.col("id").cast("string"))).orderBy(F.desc("score"), "id").limit(k)
 
 
+def search_contains(nodes: DataFrame, mention: str, k: int = 5) -> DataFrame:
+    """Nodes whose name contains the mention, by id (RT-05)."""
+    return nodes.where(F.contains(F.lower("name"), F.lit(mention.lower()))).orderBy("id").limit(k)
+
+
+def search_pathways(pathways: DataFrame, mention: str, label: str | None = None, k: int = 5, order: Column | None = None) -> DataFrame:
+    """Pathways by the start of an id ('NODE_...'), else by unit name and station
+    code ('A01N02'): adds `tier` (RT-04). `pathways`: id, label, station_code."""
+    upper = mention.upper()
+    by_node = upper.startswith("NODE_")
+    keep = F.upper("id").startswith(upper) if by_node else (F.col("station_code") == upper[:3]) & F.contains(F.upper("id"), F.lit(upper[3:]))
+    if label:
+        keep = keep & (F.col("label") == label)
+    return pathways.where(keep).withColumn("tier", F.lit("node" if by_node else "unit")).distinct().orderBy(order if order is not None else F.col("id")).limit(k)
+
+
 def nearest_names(names: DataFrame, mention: str, k: int = 5) -> DataFrame:
     """The k names of the smallest edit distance to a mention (RT-08)."""
     return names.select("name").distinct().withColumn("distance", F.levenshtein(F.lower("name"), F.lit(mention.lower()))).orderBy("distance", "name").limit(k)

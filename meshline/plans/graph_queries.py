@@ -71,7 +71,19 @@ def ga04_pagerank(spark, d):
     return A.pagerank(A.project(bipartite(spark, d)), rounds=8).select("id", F.round("score", 4).alias("score"))
 
 
-@query()
+def betweenness_sql(depth: int) -> str:
+    """Distances and path counts level by level, then all triples s, v, t."""
+    parts = [PAIRS, "n AS (SELECT DISTINCT a AS id FROM pairs)", "l0 AS (SELECT id AS s, id AS v, 1.0::DOUBLE AS c FROM n)"]
+    seen = "SELECT s, v FROM l0"
+    for k in range(1, depth + 1):
+        parts.append(f"l{k} AS (SELECT s, b AS v, sum(c) AS c FROM l{k - 1} JOIN pairs ON a = v WHERE (s, b) NOT IN ({seen}) GROUP BY 1, 2)")
+        seen += f" UNION ALL SELECT s, v FROM l{k}"
+    parts.append("sp AS (" + " UNION ALL ".join(f"SELECT s, v, {k} AS d, c FROM l{k}" for k in range(depth + 1)) + ")")
+    parts.append("hit AS (SELECT x.v AS id, sum(x.c * y.c / z.c) AS score FROM sp x JOIN sp y ON y.s = x.v JOIN sp z ON z.s = x.s AND z.v = y.v WHERE x.d + y.d = z.d AND x.d > 0 AND y.d > 0 AND x.s < y.v GROUP BY 1)")
+    return "WITH " + ", ".join(parts) + " SELECT n.id, round(coalesce(score, 0), 2) AS score FROM n LEFT JOIN hit ON hit.id = n.id"
+
+
+@query(betweenness_sql(7), "serves")
 def ga05_betweenness(spark, d):
     return A.betweenness(projection(spark, d)).select("id", F.round("score", 2).alias("score"))
 
@@ -131,7 +143,14 @@ def ga13_closeness(spark, d):
     return A.closeness(p, some.join(A.nodes_of(p), "id", "left_semi")).select("id", F.round("score", 4).alias("score"))
 
 
-@query()
+def label_propagation_sql(rounds: int) -> str:
+    parts = [PAIRS, "r0 AS (SELECT DISTINCT a AS id, a AS c FROM pairs)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"r{k} AS (SELECT id, c FROM (SELECT a AS id, c, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, c) AS r FROM pairs JOIN r{k - 1} ON r{k - 1}.id = b GROUP BY a, c) WHERE r = 1)")
+    return "WITH " + ", ".join(parts) + f" SELECT c AS community, count(*) AS n FROM r{rounds} GROUP BY 1"
+
+
+@query(label_propagation_sql(10), "serves")
 def ga13_label_propagation(spark, d):
     return A.label_propagation(projection(spark, d)).groupBy("community").agg(F.count("*").alias("n"))
 
@@ -144,12 +163,27 @@ def ga13_strong_components(spark, d):
     return A.strong_components(e)
 
 
-@query()
+def eigenvector_sql(rounds: int) -> str:
+    parts = [PAIRS, "r0 AS (SELECT DISTINCT a AS id, 1.0::DOUBLE AS s FROM pairs)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"w{k} AS (SELECT b AS id, sum(s) AS s FROM pairs JOIN r{k - 1} p ON p.id = a GROUP BY 1)")
+        parts.append(f"r{k} AS (SELECT id, s / (SELECT sqrt(sum(s * s)) FROM w{k}) AS s FROM w{k})")
+    return "WITH " + ", ".join(parts) + f" SELECT id, round(s, 4) AS score FROM r{rounds}"
+
+
+@query(eigenvector_sql(10), "serves")
 def ga13_eigenvector(spark, d):
     return A.eigenvector(projection(spark, d), 10).select("id", F.round("score", 4).alias("score"))
 
 
-@query()
+def article_rank_sql(rounds: int) -> str:
+    parts = ["ids AS (SELECT DISTINCT a AS id FROM und)", "deg AS (SELECT a, count(*) AS n FROM und GROUP BY 1)", "m AS (SELECT avg(n) AS mean FROM deg)", "r0 AS (SELECT id, 0.15::DOUBLE AS s FROM ids)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"r{k} AS (SELECT id, 0.15 + 0.85 * coalesce((SELECT sum(s / (n + mean)) FROM und JOIN deg USING (a) JOIN r{k - 1} p ON p.id = und.a, m WHERE und.b = ids.id), 0) AS s FROM ids)")
+    return "WITH " + ", ".join(parts) + f" SELECT id, round(s, 4) AS score FROM r{rounds}"
+
+
+@query(article_rank_sql(5), "serves", "und")
 def ga13_article_rank(spark, d):
     return A.article_rank(A.project(bipartite(spark, d)), 5).select("id", F.round("score", 4).alias("score"))
 
@@ -328,6 +362,18 @@ def rt07_coherence(spark, d):
     return R.coherence(routes.unionAll(stations), e).select("mention", "id", "coherence")
 
 
+@query("SELECT DISTINCT l_orderkey AS id, 'node' AS tier FROM lineitem WHERE CAST(l_orderkey AS VARCHAR) LIKE '12%' AND l_linenumber = 7 ORDER BY 1 LIMIT 10")
+def rt04_pathway_by_prefix(spark, d):
+    p = table(spark, d, "lineitem").select(F.concat(F.lit("NODE_"), F.col("l_orderkey").cast("string")).alias("id"), F.when(F.col("l_linenumber") == 7, "Elevator").otherwise("Pathway").alias("label"), F.lit("").alias("station_code"))
+    found = R.search_pathways(p, "NODE_12", "Elevator", 10, order=F.substring("id", 6, 20).cast("long"))
+    return found.select(F.substring("id", 6, 20).cast("long").alias("id"), "tier")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE contains(lower(n_name), 'tion_1') ORDER BY 1 LIMIT 5")
+def rt05_level_search(spark, d):
+    return R.search_contains(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), "TION_1", 5)
+
+
 @query("SELECT DISTINCT p_name AS name, CAST(levenshtein(p_name, 'smal rign') AS INTEGER) AS distance FROM part ORDER BY distance, name LIMIT 5")
 def rt08_nearest_names(spark, d):
     return R.nearest_names(table(spark, d, "part").select(F.col("p_name").alias("name")), "smal rign")

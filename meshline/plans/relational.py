@@ -244,6 +244,12 @@ def jn22_one_row_cross(spark, d):
     return from_feed(table(spark, d, "supplier").select(F.col("s_suppkey").alias("route")), feed)
 
 
+@query("SELECT o_orderkey AS trip, c_name AS rider, n_name AS zone FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey = 2 WHERE o_orderkey % 40 = 0")
+def jn14_inner_and_left(spark, d):
+    o, c, n = table(spark, d, "orders").where("o_orderkey % 40 = 0"), table(spark, d, "customer"), table(spark, d, "nation").where("n_regionkey = 2")
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey, "left").select(F.col("o_orderkey").alias("trip"), F.col("c_name").alias("rider"), F.col("n_name").alias("zone"))
+
+
 # --- aggregates, ranks, order, sets ----------------------------------------------
 
 
@@ -279,6 +285,12 @@ def ag11_duplicate_keys(spark, d):
     return n.agg(F.count("*").alias("repeated_keys"), F.sum("n").alias("rows"))
 
 
+@query("SELECT o_custkey AS shape, count(DISTINCT o_orderpriority) AS routes, arg_min(o_orderkey, o_orderkey) AS first_trip, arg_min(o_orderstatus, o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS first_known FROM orders GROUP BY 1")
+def ag12_nunique_and_first_known(spark, d):
+    known = F.when(F.col("o_orderstatus") != "F", F.col("o_orderkey"))
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("shape")).agg(F.countDistinct("o_orderpriority").alias("routes"), F.min("o_orderkey").alias("first_trip"), F.min_by("o_orderstatus", known).alias("first_known"))
+
+
 @query("SELECT l_orderkey AS trip, arg_min(l_partkey, (l_linenumber, l_partkey)) AS first_stop, arg_max(l_partkey, (l_linenumber, l_partkey)) AS last_stop FROM lineitem GROUP BY 1")
 def ag16_first_and_last(spark, d):
     at = F.struct("l_linenumber", "l_partkey")
@@ -387,6 +399,18 @@ def st05_xor(spark, d):
     return table(spark, d, "part").where((F.col("p_size") > 25) != (F.col("p_retailprice") > 950)).select(F.col("p_partkey").alias("id"))
 
 
+@query("SELECT s_suppkey AS route, dst AS station FROM supplier JOIN serves ON src = s_suppkey ORDER BY 1, 2 LIMIT 40", "serves")
+def so04_sample_by_id(spark, d):
+    m = Match(graph(spark, d)).start("r", "Route").out("SERVES", "s")
+    return m.select(F.col("r__id").alias("route"), F.col("s__id").alias("station")).orderBy("route", "station").limit(40)
+
+
+@query("SELECT event_id, CAST(split_part('Stop ' || event_type || ' skipped', ' ', 2) AS VARCHAR) AS stop, replace('int_sa_' || CAST(event_id AS VARCHAR), 'int_sa_', '') AS source FROM events WHERE event_id < 500")
+def str05_split_and_replace(spark, d):
+    text = F.concat(F.lit("Stop "), F.col("event_type"), F.lit(" skipped"))
+    return table(spark, d, "events").where("event_id < 500").select("event_id", F.split(F.split(text, "Stop ")[1], " ")[0].alias("stop"), F.regexp_replace(F.concat(F.lit("int_sa_"), F.col("event_id").cast("string")), "^int_sa_", "").alias("source"))
+
+
 # --- functions -------------------------------------------------------------------
 
 
