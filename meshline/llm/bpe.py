@@ -24,16 +24,19 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from meshline.llm.common import id_and_text
+from meshline.llm.common import begin, id_and_text, pieces
 
 #: Fixed values of the public byte-level format: its pre-token pattern.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of each generation of a worker's caches; what is longer than CACHED_CHARS is not kept.
-CACHE_ENTRIES, CACHED_CHARS = 150_000, 40
+#: Pre-tokens that a worker's table holds before it is emptied: about 70 MB.
+CACHE_ENTRIES = 400_000
+#: Bytes of text that are encoded together: the more, the fewer distinct pre-tokens for each text.
+GATHERED_BYTES = 12 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -45,97 +48,154 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Generations(dict):
-    """A bounded cache: when the young entries are full they become the old
-    ones, and the old ones that weren't asked for meanwhile are forgotten."""
+class PieceTable:
+    """Pre-token -> its ids, as a stretch of one growing array. A full table is
+    emptied; what occurs often is soon learnt again."""
 
-    def __init__(self, make: Callable[[str], bytes], entries: int = CACHE_ENTRIES):
-        super().__init__()
-        self.make, self.entries, self.old = make, entries, {}
+    def __init__(self, new_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.new_pieces = new_pieces
+        self.clear()
 
-    def __missing__(self, key: str) -> bytes:
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(key) <= CACHED_CHARS:
-            self.put(key, found)
-        return found
+    def clear(self) -> None:
+        self.slot: dict[str, int] = {"": 0}  # behind a chunk's last pre-token
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def put(self, key: str, value: bytes) -> None:
-        if len(self) >= self.entries:
-            self.old = dict(self)
+    def look_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) in `flat` of the ids of each of some distinct pre-tokens."""
+        if len(self.slot) > CACHE_ENTRIES:
             self.clear()
-        self[key] = value
+        at = np.fromiter(map(self.slot.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            fresh = [pieces[i] for i in unknown.tolist()]
+            ids, sizes = self.new_pieces(fresh)
+            n = len(self.slot)
+            self.flat = grown(self.flat, self.used + len(ids))
+            self.start, self.size = grown(self.start, n + len(fresh)), grown(self.size, n + len(fresh))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.start[n : n + len(fresh)] = self.used + np.cumsum(sizes) - sizes
+            self.size[n : n + len(fresh)] = sizes
+            self.used += len(ids)
+            self.slot.update(zip(fresh, range(n, n + len(fresh))))
+            at[unknown] = np.arange(n, n + len(fresh))
+        return self.start[at], self.size[at]
+
+
+def grown(array: np.ndarray, least: int) -> np.ndarray:
+    if least <= len(array):
+        return array
+    out = np.zeros(max(least, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
 
 
 class ChunkEncoder:
-    """Encodes texts by way of their chunks, each a run of non-spaces with the
-    one space or line break before it. No pre-token crosses such a border, so
-    equal chunks get equal ids wherever they stand, and one that a worker met
-    lately isn't encoded again. `whole` gives the ids of a text, as
-    little-endian 32-bit bytes; `new_pieces`, if given, those of many
-    pre-tokens at once."""
-
-    #: Spaces on which Python's `re` and Unicode's White_Space property differ.
+    """Encodes a column of texts by way of its distinct pre-tokens.
+
+    A chunk is a run of non-spaces with the one space or line break before it;
+    no pre-token crosses such a border. Chunks are split, told apart and split
+    into pre-tokens in Arrow's columns; Python sees each distinct pre-token of a
+    batch once, asks for the ids of those that the worker has not met lately,
+    and spreads the ids out again by gathers. `piece` gives the ids of a
+    pre-token as little-endian 32-bit bytes, `new_pieces`, if given, those of
+    many at once, `whole` those of a text that can't be split."""
+
+    #: Texts in which chunks can't be told by single spaces and line breaks alone.
+    UNEVEN = ("  ", "\n\n", " \n", "\n ")
+    OTHER = "[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    #: Spaces on which regular expression libraries and Unicode's White_Space differ.
     ODD_SPACES = re.compile("[\x1c-\x1f]")
-    OTHER_SPACES = re.compile(r"[^\S \n]")
-    RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-    #: Stands between the ids of two chunks; no id.
-    BORDER = b"\xff\xff\xff\xff"
+    #: PRE_TOKENS inside a chunk, where no white space follows white space.
+    IN_CHUNK = r"\n|'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+| "
 
-    def __init__(self, specials: list[str], whole: Callable[[str], bytes], piece: Callable[[str], bytes], new_pieces: Callable[[list[str]], list[bytes]] | None = None):
-        self.specials, self.whole, self.new_pieces = specials, whole, new_pieces
+    def __init__(self, specials: list[str], whole: Callable[[str], np.ndarray], new_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.specials, self.whole = specials, whole
         self.pattern = regex.compile(PRE_TOKENS)
-        self.pieces = Generations(piece, 200_000)
-        self.words = Generations(lambda word: whole(word if word[:1] == "\n" else " " + word))
-        self.runs = Generations(whole)
-        self.line_break = piece("\n")
-
-    def split(self, text: str) -> list[str] | None:
-        """The chunks of a text whose spaces stand alone, without the space
-        before each; one that follows a line break starts with it, the first
-        chunk too, as if a line break stood before the text. Else None."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.OTHER_SPACES.search(text) or self.undivided(text):
-            return None
-        return ("\n" + text).replace("\n", " \n")[1:].split(" ")
+        self.pieces = PieceTable(new_pieces)
+        self.line_break = len(new_pieces(["\n"])[0])
 
     def undivided(self, text: str) -> bool:
-        """Whether the text can't be split into chunks."""
+        """Whether the text must be encoded as a whole."""
         return self.ODD_SPACES.search(text) is not None or any(x in text for x in self.specials)
 
-    def learn(self, words: set[str]) -> None:
-        """Encode new chunks at once, a line each."""
-        plain = [w for w in words if 0 < len(w) <= CACHED_CHARS and w != "\n"]
-        if not plain:
-            return
-        found = self.pattern.findall("\n".join([w[1:] if w[0] == "\n" else " " + w for w in plain]))
-        pieces = self.pieces
-        if self.new_pieces:
-            old = pieces.old
-            fresh = [p for p in set(itertools.filterfalse(pieces.__contains__, found)) if p not in old and p != "\n"]
-            for piece, ids in zip(fresh, self.new_pieces(fresh), strict=True):
-                pieces.put(piece, ids)
-        pieces["\n"] = self.BORDER
-        raw = b"".join(map(pieces.__getitem__, found))
-        pieces["\n"] = self.line_break
-        cuts, first, put = (np.flatnonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF) * 4).tolist(), 0, self.words.put
-        for word, end in zip(plain, [*cuts, len(raw)], strict=True):
-            put(word, self.line_break + raw[first:end] if word[0] == "\n" else raw[first:end])
-            first = end + 4
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        words = self.words
-        self.learn(set(itertools.filterfalse(words.__contains__, itertools.chain.from_iterable(filter(None, split)))).difference(words.old))
-        out = []
-        for text, chunks in zip(texts, split):
-            if chunks is not None:
-                out.append(b"".join(map(words.__getitem__, chunks))[len(self.line_break) :])
-            elif self.undivided(text):
-                out.append(self.whole(text))
-            else:
-                out.append(b"".join(map(self.runs.__getitem__, self.RUNS.findall(text))))
-        return out
+    def plain(self, text: str) -> np.ndarray:
+        """The ids of a text without special tokens, by its pre-tokens."""
+        found = self.pattern.findall(text)
+        distinct = {p: i for i, p in enumerate(dict.fromkeys(found))}
+        at, size = self.pieces.look_up(list(distinct))
+        entry = np.fromiter(map(distinct.__getitem__, found), np.int64, len(found))
+        return gather(self.pieces.flat, at[entry], size[entry])
+
+    def encode_uneven(self, text: str) -> np.ndarray:
+        return self.whole(text) if self.undivided(text) else self.plain(text)
+
+    def encode_column(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, number of ids of each), `end` after each
+        text where given. A null text is empty."""
+        try:
+            texts = pc.fill_null(texts.cast(pa.string()), "")
+        except pa.ArrowInvalid:  # not UTF-8
+            texts = pa.array([(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        uneven = pc.match_substring_regex(texts, self.OTHER)
+        for part in (*self.UNEVEN, *self.specials):
+            uneven = pc.or_(uneven, pc.match_substring(texts, part))
+        uneven = uneven.to_numpy(zero_copy_only=False)
+        even = texts.filter(pa.array(~uneven))
+        # each line break opens a chunk, as does one put before the text, whose id is left out below
+        lists = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(even, "\n", " \n"), ""), " ")
+        chunks = lists.flatten().dictionary_encode()
+        distinct = chunks.dictionary
+        spaced = pc.if_else(pc.starts_with(distinct, "\n"), distinct, pc.binary_join_element_wise(" ", distinct, ""))
+        inside = pc.split_pattern(pc.replace_substring_regex(spaced, self.IN_CHUNK, "\\0\x1f"), "\x1f")
+        pieces = inside.flatten().dictionary_encode()
+        at, length = self.pieces.look_up(strings(pieces.dictionary))
+        entry = pieces.indices.to_numpy()
+        length = length[entry]
+        chunk_ids = gather(self.pieces.flat, at[entry], length)
+        upto = np.concatenate([[0], np.cumsum(length)])
+        bounds = np.concatenate([[0], np.cumsum(inside.value_lengths().to_numpy(zero_copy_only=False))])
+        chunk_size = upto[bounds[1:]] - upto[bounds[:-1]]
+
+        # beside the chunks, the entries to spread are the uneven texts and the end
+        others = [self.encode_uneven(t) for t in texts.filter(pa.array(uneven)).to_pylist()]
+        tail = np.array([] if end is None else [end], np.uint32)
+        flat = np.concatenate([chunk_ids, *others, tail])
+        size = np.concatenate([chunk_size, [len(x) for x in (*others, tail)]]).astype(np.int64)
+        start = np.cumsum(size) - size
+        per_text = np.ones(len(texts), np.int64)
+        per_text[~uneven] = lists.value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(per_text + 1)
+        first = ends - per_text - 1
+        entry = np.full(int(ends[-1]), len(size) - 1, np.int64)
+        body = np.ones(len(entry), bool)
+        body[ends - 1] = False
+        from_chunks = np.repeat(~uneven, per_text)
+        entries = np.empty(len(from_chunks), np.int64)
+        entries[from_chunks] = chunks.indices.to_numpy()
+        entries[~from_chunks] = len(chunk_size) + np.arange(len(others))
+        entry[body] = entries
+        at, length = start[entry], size[entry]
+        cut = first[~uneven]
+        at[cut] += self.line_break
+        length[cut] -= self.line_break
+        return gather(flat, at, length), np.add.reduceat(length, first)
+
+
+def gather(flat: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of `flat` that start at `at`, one after the other."""
+    upto = np.cumsum(length)
+    return flat[np.repeat(at - (upto - length), length) + np.arange(int(upto[-1]) if len(upto) else 0)]
+
+
+def strings(array: pa.StringArray) -> list[str]:
+    """As to_pylist(), for values without U+001F, by one split."""
+    if not len(array):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array)
+    return pc.binary_join(whole, "\x1f")[0].as_py().split("\x1f")
 
 
 class Codec:
@@ -181,7 +241,7 @@ class Codec:
         lengths = np.array(self.size, np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.texts = ChunkEncoder(list(self.special), self.encode_whole, lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes())
+        self.texts = ChunkEncoder(list(self.special), self.encode_whole, self.encode_pieces)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b, merged together, end as exactly a, b.
@@ -204,7 +264,7 @@ class Codec:
                 x, bar = self.made_of[x][1], ox  # the merge inside a lies left of the border and goes first
             else:
                 y, bar = self.made_of[y][0], oy + 1
-        if len(self.compatible_pairs) >= 1_000_000:
+        if len(self.compatible_pairs) >= 300_000:
             self.compatible_pairs.clear()
         self.compatible_pairs[key] = result
         return result
@@ -241,17 +301,21 @@ class Codec:
                 token = shorter[token]
             matches = longest(text, at + size[token])
 
-    def encode_plain(self, text: str) -> bytes:
-        return b"".join(map(self.texts.pieces.__getitem__, self.pattern.findall(text)))
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, number of ids of each)."""
+        found = [self.encode_piece(p.encode()) for p in pieces]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
-    def encode_whole(self, text: str) -> bytes:
+    def encode_whole(self, text: str) -> np.ndarray:
+        """The ids of a text in which special tokens can stand."""
         if self.split_special is None:
-            return self.encode_plain(text)
-        return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else self.encode_plain(x) for x in self.split_special.split(text))
+            return self.texts.plain(text)
+        return np.concatenate([np.array([self.special[x]], np.uint32) if x in self.special else self.texts.plain(x) for x in self.split_special.split(text)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, little-endian unsigned 32-bit."""
-        return self.texts.encode_all([text])[0]
+        return self.texts.encode_column(pa.array([text], pa.string()))[0].tobytes()
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for, by one gather over the offset table."""
@@ -278,27 +342,41 @@ def encode_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
     byte-level BPE file, present on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe", codec.cache_clear)
         c = codec(tokenizer)
-        for batch in batches:
-            held = c.texts.encode_all([(t or b"").decode("utf-8", "replace") for t in batch.column(1).to_pylist()])
+        for batch in gathered(batches):
+            ids, sizes = c.texts.encode_column(batch.column(1))
+            ends = np.cumsum(sizes)
+            held = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
             columns = [
                 batch.column(0),
-                pa.array([len(h) // 4 for h in held], pa.int64()),
-                pa.array([hashlib.sha256(h).hexdigest() for h in held]),
-                pa.array([hashlib.sha256(c.decode(np.frombuffer(h, "<u4")).encode()).hexdigest() for h in held]),
+                pa.array(sizes),
+                pa.array([hashlib.sha256(h.tobytes()).hexdigest() for h in held], pa.string()),
+                pa.array([hashlib.sha256(c.decode(h).encode()).hexdigest() for h in held], pa.string()),
             ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(id_lists(held))
+                columns.append(id_lists(ids, sizes))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return id_and_text(docs, doc_id, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
-def id_lists(held: list[bytes]) -> pa.ListArray:
-    """Ids as bytes -> a list column, without a Python object for each id."""
-    offsets = np.zeros(len(held) + 1, np.int32)
-    np.cumsum([len(h) // 4 for h in held], out=offsets[1:])
-    flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(held))])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+def id_lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Ids of consecutive texts -> a list column, without a Python object for each id."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.ascontiguousarray(ids).view(np.int32)))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], least_bytes: int = GATHERED_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches`, texts second, in batches of about `least_bytes`."""
+    held, size = [], 0
+    for whole in batches:
+        for batch in pieces(whole, 1):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= least_bytes:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshline.llm.bpe import ChunkEncoder, id_lists
-from meshline.llm.common import id_and_text, pieces, small_batches
+from meshline.llm.bpe import ChunkEncoder, gathered, id_lists
+from meshline.llm.common import begin, id_and_text, small_batches
 from meshline.session import scratch_path
 
 #: The most files whose offsets are broadcast: 16 bytes each, so 16 MB.
@@ -55,25 +55,30 @@ class LibraryEncoder(ChunkEncoder):
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
         self.byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"] and not spec["post_processor"]
-        super().__init__([t["content"] for t in spec["added_tokens"]], self.library, self.library, self.lines)
+        self.break_id = self.library("\n").tolist()
+        super().__init__([t["content"] for t in spec["added_tokens"]], self.library, self.lines)
 
     def undivided(self, text: str) -> bool:
         return not self.byte_level or super().undivided(text)
 
-    def library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def lines(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pre-tokens without line breaks, in one call: a line each."""
-        if not pieces:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == np.frombuffer(self.line_break, "<u4")[0]) * 4
-        raw = ids.tobytes()
-        if len(self.line_break) != 4 or len(cuts) != len(pieces) - 1:
-            return [self.library(p) for p in pieces]
-        bounds = [-4, *cuts.tolist(), len(raw)]
-        return [raw[a + 4 : b] for a, b in itertools.pairwise(bounds)]
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def lines(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, number of ids of each) of pre-tokens, in one call: a line
+        each, cut at the id of the line break."""
+        if "\n" in pieces:  # in order, apart from the others
+            at = pieces.index("\n")
+            parts = [self.lines(x) for x in (pieces[:at], pieces[at + 1 :])]
+            mid = np.array(self.break_id, np.uint32)
+            return np.concatenate([parts[0][0], mid, parts[1][0]]), np.concatenate([parts[0][1], [len(mid)], parts[1][1]])
+        if pieces and len(self.break_id) == 1 and not any("\n" in p for p in pieces):
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.break_id[0])
+            if len(cuts) == len(pieces) - 1:
+                return np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+        found = [self.library(p) for p in pieces]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
 
 
 @functools.lru_cache(maxsize=4)
@@ -87,20 +92,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id
 
     The one shuffle deals texts by ranges of (doc_id, hash of the text), so that
     rows of one repeated id can lie in several files; AQE sizes the files."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("token_orc", library_encoder.cache_clear)
         encoder, part, before = library_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for batch in pieces(whole, 1):
-                held = [ids + end for ids in encoder.encode_all([(t or b"").decode("utf-8", "replace") for t in batch.column(1).to_pylist()])]
-                sizes = np.array([len(h) // 4 for h in held], np.int64)
-                starts = before + np.cumsum(sizes) - sizes
-                before += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(held), pa.int32()), batch.column(0), pa.array(starts), pa.array(sizes), id_lists(held)],
-                    ["part", "doc_id", "before", "n_tokens", "ids"],
-                )
+        for batch in gathered(batches):
+            ids, sizes = encoder.encode_column(batch.column(1), end_id)
+            ends = np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(sizes), part, np.int32)), batch.column(0), pa.array(before + ends - sizes), pa.array(sizes), id_lists(ids, sizes)],
+                ["part", "doc_id", "before", "n_tokens", "ids"],
+            )
+            before += int(ends[-1])
 
     small_batches(docs.sparkSession)
     rows = id_and_text(docs, doc_id, text)
