@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from meshline.llm.common import exact, id_and_text, pieces
+from meshline.llm.common import begin, exact, id_and_text, pieces
 from meshline.session import cut
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
-#: Fingerprints that pick the vantage points of the top levels; fingerprints that a shard should hold; the most shards; rows that a leaf compares all with all.
-SAMPLE, SHARD_ROWS, MOST_SHARDS, LEAF = 8192, 50_000, 4096, 512
+#: Fingerprints that pick the vantage points of the top levels, at least and for each shard; fingerprints that a shard should hold; the most shards; rows that a leaf compares all with all.
+SAMPLE, SHARD_SAMPLE, SHARD_ROWS, MOST_SHARDS, LEAF = 8192, 4, 20_000, 1 << 16, 512
 #: Bit b of byte value v.
 BITS_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """(doc_id, fp long): the 64 bits of each row as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash_vp", lambda: None)
         for whole in batches:
             for batch in pieces(whole, 1):
                 fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
@@ -178,7 +179,7 @@ def links(classes: DataFrame, count: int) -> DataFrame:
     spark = classes.sparkSession
     depth = min(MOST_SHARDS, max(1, -(-count // SHARD_ROWS))) - 1
     depth = max(2, depth.bit_length())
-    sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, SHARD_SAMPLE << depth)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     if not len(sample):
         return spark.createDataFrame([], "a long, b long")
     tree = spark.sparkContext.broadcast(grow(sample, depth))
