@@ -184,12 +184,12 @@ def cl10_zone_neighbours(spark, d):
     return a.where("zone <> neighbour").select("zone", "neighbour").distinct()
 
 
-@query("SELECT r_name AS region, n_name AS zone, o_orderpriority AS service, l_returnflag AS timeframe, count(*) AS trips, round(avg(l_extendedprice), 2) AS fare FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey WHERE c_nationkey <> s_nationkey AND l_extendedprice > p_retailprice AND p_size > 40 GROUP BY 1, 2, 3, 4")
+@query("SELECT r_name AS region, n_name AS zone, o_orderpriority AS service, l_returnflag AS timeframe, count(*) AS trips, round(sum(l_extendedprice), 2) AS fare FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey WHERE c_nationkey <> s_nationkey AND l_extendedprice > p_retailprice AND p_size > 40 GROUP BY 1, 2, 3, 4")
 def cl11_nine_way(spark, d):
     l, o, s, n, r, p, c = (table(spark, d, t) for t in ("lineitem", "orders", "supplier", "nation", "region", "part", "customer"))
     m = l.join(p.where("p_size > 40"), l.l_partkey == p.p_partkey).where("l_extendedprice > p_retailprice").join(s, l.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
     out = m.where("c_nationkey <> s_nationkey").groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("zone"), F.col("o_orderpriority").alias("service"), F.col("l_returnflag").alias("timeframe"))
-    return out.agg(F.count("*").alias("trips"), F.round(F.avg("l_extendedprice"), 2).alias("fare"))
+    return out.agg(F.count("*").alias("trips"), F.round(F.sum("l_extendedprice"), 2).alias("fare"))
 
 
 @query("WITH o AS (SELECT user_id AS u, count(*) AS outages FROM events WHERE event_type = 'error' GROUP BY 1), t AS (SELECT o_custkey AS u, count(*) AS trips FROM orders GROUP BY 1) SELECT u AS unit, outages, trips, round(1.0 * outages * trips / (outages + trips), 3) AS impact FROM o JOIN t USING (u)")
