@@ -170,18 +170,22 @@ def held_out(doc_id: Column) -> Column:
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[bytes, str]]:
     """At most `rows` rows with a language, none held out, evenly many of each
-    language (those of the smallest hash of their id), each as ROW_WINDOWS
-    excerpts spread over its text. Ids are chosen first; the limit for each
-    language is applied before the shuffle too."""
+    language (by the hash of their id), each as ROW_WINDOWS excerpts spread over
+    its text. Ids are chosen first, so only chosen documents' texts move."""
     small_batches(docs.sparkSession)
     own = docs.select(exact(docs, "doc_id").cast("long").alias("id"), exact(docs, "lang").cast("string").alias("lang"), exact(docs, "text").alias("text"))
     usable = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()
+    ids = usable.select("id", "lang")
+    frequent = ids.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
     if not frequent:
         return []
     each = max(1, rows // len(frequent))
+    # only ids whose hash lies below a language's share are ranked: about twice as many as are taken
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * each / max(1, r["n"]) + 1e-9 * each)) for r in frequent], "of string, share double")
+    place = F.pmod(by_hash(F.col("id")), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    low = ids.join(F.broadcast(share), F.col("lang") == F.col("of")).where(place < F.col("share")).select("id", "lang").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(by_hash(F.col("id")), "id"))
-    chosen = usable.select("id", "lang").withColumn("r", rank).where(F.col("r") <= each).limit(rows).select("id").distinct()
+    chosen = low.withColumn("r", rank).where(F.col("r") <= each).limit(rows).select("id").distinct()
     few = docs.sparkSession.createDataFrame([(r["id"],) for r in chosen.collect()], "id long")  # at most `rows`
     text = F.col("text")
     spread = [F.substring(text, (F.length(text) * k / ROW_WINDOWS).cast("int") + 1, F.lit(WINDOW)) for k in range(ROW_WINDOWS)]
