@@ -19,9 +19,21 @@ from pyspark.sql import Window
 from meshline.functions.columns import has_label
 
 
+class Lazy(dict):
+    """Values given as functions are made when first asked for, so a query over a
+    large catalogue resolves only the tables that it reads."""
+
+    def __getitem__(self, key: str) -> object:
+        value = super().__getitem__(key)
+        if callable(value):
+            value = self[key] = value()
+        return value
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
-    """nodes: label -> table; edges: type -> (table, source label, target label)."""
+    """nodes: label -> table; edges: type -> (table, source label, target label).
+    Either can be a Lazy mapping."""
 
     nodes: dict[str, DataFrame] = field(default_factory=dict)
     edges: dict[str, tuple[DataFrame, str, str]] = field(default_factory=dict)
@@ -57,8 +69,8 @@ class PropertyGraph:
     def introspect(self) -> dict[str, dict]:
         """Labels, relationship triples and properties, from the registry alone (SRC-17)."""
         return {
-            "labels": {label: [c for c in df.columns] for label, df in self.nodes.items()},
-            "relationships": {kind: (src, dst, [c for c in df.columns if c not in ("src", "dst")]) for kind, (df, src, dst) in self.edges.items()},
+            "labels": {label: list(self.nodes[label].columns) for label in self.nodes},
+            "relationships": {kind: (self.edges[kind][1], self.edges[kind][2], [c for c in self.edges[kind][0].columns if c not in ("src", "dst")]) for kind in self.edges},
         }
 
 

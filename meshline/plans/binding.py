@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshline.operators.graph import PropertyGraph
+from meshline.operators.graph import Lazy, PropertyGraph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,26 +64,36 @@ def interruptions(spark: SparkSession, d: str) -> DataFrame:
 def graph(spark: SparkSession, d: str) -> PropertyGraph:
     t = lambda name: table(spark, d, name)
     mode = F.when(F.col("s_nationkey") < 12, "Rail").otherwise("Bus")
-    intr = interruptions(spark, d)
-    lines = t("lineitem")
+
+    def pick(name: str, *columns):
+        return lambda: t(name).select(*columns)
+
+    def ends(name: str, src: str, dst: str, source: str, target: str, *more, distinct: bool = False):
+        def make():
+            df = t(name).select(F.col(src).alias("src"), F.col(dst).alias("dst"), *more)
+            return (df.distinct() if distinct else df), source, target
+
+        return make
+
+    as_ = lambda column, alias: F.col(column).alias(alias)
     return PropertyGraph(
-        nodes={
-            "Route": t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("zone_id"), F.col("s_acctbal").alias("balance"), mode.alias("mode"), F.array(F.lit("Route"), mode).alias("labels")),
-            "Station": t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"), F.array(F.lit("Station"), F.col("p_type")).alias("labels")),
-            "Trip": t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), F.date_format("o_orderdate", "yyyyMMdd").alias("date"), F.col("o_orderpriority").alias("service")),
-            "Zone": t("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")),
-            "Region": t("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")),
-            "Rider": t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance")),
-            "Interruption": intr,
-        },
-        edges={
-            "SERVES": (serves(spark, d), "Route", "Station"),
-            "SCHEDULED_AT": (lines.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_linenumber").alias("stop_sequence"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price")), "Trip", "Station"),
-            "RUNS": (lines.select(F.col("l_suppkey").alias("src"), F.col("l_orderkey").alias("dst")).distinct(), "Route", "Trip"),
-            "IN_ZONE": (t("supplier").select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").alias("dst")), "Route", "Zone"),
-            "LIVES_IN": (t("customer").select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("dst")), "Rider", "Zone"),
-            "PART_OF": (t("nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst")), "Zone", "Region"),
-            "PLACED": (t("orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")), "Rider", "Trip"),
-            "AFFECTS": (intr.select(F.col("id").alias("src"), F.col("user_id").alias("dst")), "Interruption", "Rider"),
-        },
+        nodes=Lazy(
+            Route=pick("supplier", as_("s_suppkey", "id"), as_("s_name", "name"), as_("s_nationkey", "zone_id"), as_("s_acctbal", "balance"), mode.alias("mode"), F.array(F.lit("Route"), mode).alias("labels")),
+            Station=pick("part", as_("p_partkey", "id"), as_("p_name", "name"), as_("p_brand", "brand"), as_("p_type", "type"), as_("p_size", "size"), as_("p_retailprice", "price"), F.array(F.lit("Station"), F.col("p_type")).alias("labels")),
+            Trip=pick("orders", as_("o_orderkey", "id"), as_("o_orderstatus", "status"), as_("o_totalprice", "total"), F.date_format("o_orderdate", "yyyyMMdd").alias("date"), as_("o_orderpriority", "service")),
+            Zone=pick("nation", as_("n_nationkey", "id"), as_("n_name", "name")),
+            Region=pick("region", as_("r_regionkey", "id"), as_("r_name", "name")),
+            Rider=pick("customer", as_("c_custkey", "id"), as_("c_name", "name"), as_("c_mktsegment", "segment"), as_("c_acctbal", "balance")),
+            Interruption=lambda: interruptions(spark, d),
+        ),
+        edges=Lazy(
+            SERVES=lambda: (serves(spark, d), "Route", "Station"),
+            SCHEDULED_AT=ends("lineitem", "l_orderkey", "l_partkey", "Trip", "Station", as_("l_linenumber", "stop_sequence"), as_("l_quantity", "quantity"), as_("l_extendedprice", "price")),
+            RUNS=ends("lineitem", "l_suppkey", "l_orderkey", "Route", "Trip", distinct=True),
+            IN_ZONE=ends("supplier", "s_suppkey", "s_nationkey", "Route", "Zone"),
+            LIVES_IN=ends("customer", "c_custkey", "c_nationkey", "Rider", "Zone"),
+            PART_OF=ends("nation", "n_nationkey", "n_regionkey", "Zone", "Region"),
+            PLACED=ends("orders", "o_custkey", "o_orderkey", "Rider", "Trip"),
+            AFFECTS=lambda: (interruptions(spark, d).select(as_("id", "src"), as_("user_id", "dst")), "Interruption", "Rider"),
+        ),
     )
