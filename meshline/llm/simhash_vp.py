@@ -78,16 +78,17 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def grow(sample: np.ndarray, depth: int) -> list[tuple[int, int]]:
     """The top of the tree as a heap of (vantage point, radius): the children of
     node i are 2i+1 (inside) and 2i+2 (outside). A vantage point is the sample's
-    first fingerprint there, the radius the median distance to it."""
+    first fingerprint there. The radius lies a little below the median distance
+    to it, so that either side, the inside with its border, gets about as much."""
     nodes: list[tuple[int, int]] = []
     held = {0: sample}
     for i in range((1 << depth) - 1):
         own = held.pop(i, sample[:1])
         own = own if len(own) else sample[:1]
         d = np.bitwise_count(own ^ own[0])
-        m = int(np.median(d[1:])) if len(d) > 1 else 32
+        m = int(np.median(d[1:]) - 2) if len(d) > 1 else 30
         nodes.append((int(own[0]), m))
-        held[2 * i + 1], held[2 * i + 2] = own[d <= m], own[d > m]
+        held[2 * i + 1], held[2 * i + 2] = own[d <= m + RADIUS], own[d > m]
     return nodes
 
 
@@ -195,7 +196,8 @@ def links(classes: DataFrame, count: int) -> DataFrame:
         a, b = spanning_links(fps)
         return pd.DataFrame({"a": fps[a].view(np.int64), "b": fps[b].view(np.int64)})
 
-    dealt = classes.select("fp").mapInArrow(deal, "shard long, fp long")
+    # few bytes, much work: the number of partitions is set, as AQE would join them by their size
+    dealt = classes.select("fp").mapInArrow(deal, "shard long, fp long").repartition(max(8, 1 << depth), "shard")
     return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
