@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 from meshline.functions import columns as C
 from meshline.operators import algorithms as A
 from meshline.operators import expand as X
-from meshline.operators import graph as G
 from meshline.operators import paths as P
 from meshline.operators import resolve as R
 from meshline.operators import upsert as U
-from meshline.operators.graph import Match
 from meshline.operators.validate import Check, run_checks
-from meshline.plans.binding import bipartite, graph, interruptions, query, serves, table
+from meshline.plans.binding import bipartite, graph, query, serves, table
 
 OFFSET = 1_000_000_000
 
