@@ -6,7 +6,13 @@ The windows of the benchmark, under every mask, form a table of hashes; those of
 each document are looked up in it. Around each hit the item is laid over the
 document at the hit's offset and compared token by token: the stretch with the
 best score (equal +1, replaced -2) counts as an overlap if it is long enough and
-alike enough.
+alike enough; if it isn't, the longest stretch that is alike enough is tried.
+
+The masks lose nothing: a stretch of 10 tokens or more that is 80 % equal holds
+one of 10 tokens with two replaced or of 15 with three (a longer one has a half
+that is as alike), and the masks hit all of those; whole items of 5 to 9 tokens,
+of which one may be replaced, have masks of four tokens of their own. This holds
+for LEAST_TOKENS and LEAST_EQUAL, and for stricter limits.
 
 The benchmark is a query set: it is read in blocks of a bounded number of
 windows, whose table is broadcast, and each block is held against all documents.
@@ -14,13 +20,14 @@ windows, whose table is broadcast, and each block is held against all documents.
 Tokens are words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z become a-z,
 so case and punctuation play no part. Defined cases: null and empty texts have
 no tokens and no overlap; an item of SHORTEST tokens up to the least overlap
-must overlap whole, a shorter one is not searched; repeated rows each give their
+must overlap whole, alike enough; a shorter one is not searched; repeated rows each give their
 own result; texts are searched whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from typing import NamedTuple
 
 import numpy as np
@@ -30,16 +37,18 @@ from xxhash import xxh64_intdigest
 
 from meshline.llm.common import WORD_BYTES, begin, exact, filtered, id_and_text, pieces
 
-#: Fixed masks; each looks at six tokens of at most ten.
-MASKS = ("1110111", "11011011", "110100111", "1101010011")
+#: Fixed masks for items of LEAST_TOKENS and more, each of six tokens of at most ten, and for shorter ones.
+LONG_MASKS = ("1101111", "10111011", "11110101", "111010011", "1100001111")
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
+MASKS = LONG_MASKS + SHORT_MASKS
 #: An overlap has this many tokens (or the whole item), of which this share is equal.
 LEAST_TOKENS, LEAST_EQUAL = 10, 0.8
 SHORTEST = 5
-#: Windows of the benchmark in one broadcast table: with four masks and 24 bytes an entry about 50 MB.
+#: Windows of the benchmark in one broadcast table: with five masks and 24 bytes an entry about 60 MB.
 BLOCK_WINDOWS = 500_000
 
 OFFSETS = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 49).tolist() for m in MASKS]
-FACTORS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1) for k in range(16)]
+FACTORS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1) for k in range(max(map(len, MASKS)))]
 
 
 class TokenHashes(dict):
@@ -65,15 +74,20 @@ def tokens(raw: bytes | None) -> np.ndarray:
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def seeds(ids: np.ndarray, mask: int) -> np.ndarray:
-    """The hash of each window of `ids` under a mask."""
+def scaled(ids: np.ndarray) -> list[np.ndarray]:
+    """The tokens times the factor of each place in a window."""
+    return [ids * f for f in FACTORS]
+
+
+def seeds(places: list[np.ndarray], mask: int) -> np.ndarray:
+    """The hash of each window under a mask, from scaled() tokens."""
     offsets = OFFSETS[mask]
-    n = len(ids) - len(MASKS[mask]) + 1
+    n = len(places[0]) - len(MASKS[mask]) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = ids[:n] * FACTORS[0] + np.uint64(mask + 1)
-    for k, o in enumerate(offsets[1:], 1):
-        out += ids[o : o + n] * FACTORS[k]
+    out = places[0][:n] + np.uint64(mask + 1)
+    for o in offsets[1:]:
+        out += places[o][o : o + n]
     return out ^ (out >> np.uint64(29))
 
 
@@ -86,9 +100,8 @@ class Overlap(NamedTuple):
 
 
 class Table(NamedTuple):
-    """Hashes, sorted, with (item, position) of each; a bit map of their upper
-    bits rules out nearly all windows of a document. `short` holds items with no
-    window under any mask."""
+    """For each mask: hashes, sorted, with (item, position) of each; a bit map of
+    their upper bits rules out nearly all windows of a document."""
 
     items: list[np.ndarray]
     hashes: list[np.ndarray]
@@ -96,30 +109,36 @@ class Table(NamedTuple):
     at: list[np.ndarray]
     maps: list[np.ndarray]
     shift: int
-    short: list[int]
 
     @classmethod
     def build(cls, items: list[np.ndarray]) -> Table:
         total = sum(map(len, items))
         bits = min(26, max(16, (32 * max(1, total)).bit_length()))
         shift, parts = 64 - bits, ([], [], [], [])
+        long = [i for i, ids in enumerate(items) if len(ids) >= LEAST_TOKENS]
+        short = [i for i, ids in enumerate(items) if SHORTEST <= len(ids) < LEAST_TOKENS]
+        places = {i: scaled(items[i]) for i in long + short}
         for mask in range(len(MASKS)):
-            own = [seeds(ids, mask) for ids in items]
+            searched = long if mask < len(LONG_MASKS) else short
+            own = [seeds(places[i], mask) for i in searched]
             h = np.concatenate([np.zeros(0, np.uint64), *own])
-            item = np.repeat(np.arange(len(items), dtype=np.int32), [len(x) for x in own])
+            item = np.repeat(np.array(searched, np.int32), [len(x) for x in own])
             at = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(x), dtype=np.int32) for x in own)])
             order = np.argsort(h, kind="stable")
-            marks = np.zeros(1 << bits, bool)
+            marks = np.zeros(1 << bits if len(h) else 0, bool)
             marks[(h >> np.uint64(shift)).astype(np.int64)] = True
             for held, x in zip(parts, (h[order], item[order], at[order], marks)):
                 held.append(x)
-        return cls(items, parts[0], parts[1], parts[2], parts[3], shift, [i for i, x in enumerate(items) if SHORTEST <= len(x) < min(map(len, MASKS))])
+        return cls(items, *parts, shift)
 
     def hits(self, ids: np.ndarray) -> set[tuple[int, int]]:
         """(item, offset of the item's start from the document's) of all hits."""
         found: set[tuple[int, int]] = set()
+        places = scaled(ids)
         for mask, (hashes, marks) in enumerate(zip(self.hashes, self.maps)):
-            h = seeds(ids, mask)
+            if not len(hashes):
+                continue
+            h = seeds(places, mask)
             where = np.flatnonzero(marks[(h >> np.uint64(self.shift)).astype(np.int64)])
             if not len(where):
                 continue
@@ -127,23 +146,22 @@ class Table(NamedTuple):
             first, last = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
             for w, a, b in zip(where[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist()):
                 found.update(zip(self.item[mask][a:b].tolist(), (w - self.at[mask][a:b]).tolist()))
-        for i in self.short:
-            whole = self.items[i]
-            for w in np.flatnonzero(ids[: max(0, len(ids) - len(whole) + 1)] == whole[0]).tolist():
-                if (ids[w : w + len(whole)] == whole).all():
-                    found.add((i, w))
         return found
 
     def overlaps(self, ids: np.ndarray, least: int = LEAST_TOKENS, share: float = LEAST_EQUAL) -> list[Overlap]:
         """The best verified overlap with each item."""
         best: dict[int, Overlap] = {}
+        part = Fraction(share).limit_denominator(1000)
         for i, offset in sorted(self.hits(ids)):
             item = self.items[i]
             a, b = max(0, -offset), min(len(item), len(ids) - offset)
             equal = item[a:b] == ids[offset + a : offset + b]
+            asked = min(least, len(item))
             lo, hi = best_stretch(equal)
+            if hi - lo < asked or equal[lo:hi].sum() < part * (hi - lo):
+                lo, hi = longest_stretch(equal, part, asked)
             n = int(equal[lo:hi].sum())
-            if hi - lo >= min(least, len(item)) and n >= share * (hi - lo) and (i not in best or n > best[i].equal):
+            if hi - lo >= asked and (i not in best or n > best[i].equal):
                 best[i] = Overlap(i, offset + a + lo, a + lo, hi - lo, n)
         return list(best.values())
 
@@ -156,6 +174,21 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(total[: hi + 1].argmin()), hi
 
 
+def longest_stretch(equal: np.ndarray, share: Fraction, least: int) -> tuple[int, int]:
+    """Bounds of the longest stretch with this share of equal tokens; unequal
+    tokens at its ends go as long as `least` are left."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal, share.denominator, 0) - share.numerator)])
+    above = np.maximum.accumulate(total[::-1])[::-1]  # never rises, so the last end that is not below a start is found by bisection
+    last = np.searchsorted(-above, -total, "right") - 1
+    lo = int((last - np.arange(len(total))).argmax())
+    hi = int(last[lo])
+    while hi - lo > least and not equal[hi - 1]:
+        hi -= 1
+    while hi - lo > least and not equal[lo]:
+        lo += 1
+    return lo, hi
+
+
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """Item ids and tokens, in blocks of at most BLOCK_WINDOWS windows; an item
     that is longer is a block of its own."""

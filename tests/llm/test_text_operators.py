@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import zlib
@@ -296,3 +297,41 @@ def test_benchmark_in_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("equal, bounds", [([1, 1, 0, 1], (0, 2)), ([0, 1, 1, 1, 0, 1, 1, 1], (1, 8)), ([0, 0], (0, 0))])
 def test_best_stretch(equal, bounds):
     assert spaced_seed.best_stretch(np.array(equal, bool)) == bounds
+
+
+def test_every_overlap_within_the_limits_is_found():
+    """All ways to replace 2 of 10 and 3 of 15 tokens, and 1 of a short item."""
+    for length, replaced in ((5, 1), (6, 1), (7, 1), (8, 1), (9, 1), (10, 2), (15, 3)):
+        item = [f"w{j}" for j in range(length)]
+        table = spaced_seed.Table.build([spaced_seed.tokens(" ".join(item).encode())])
+        for at in itertools.combinations(range(length), replaced):
+            piece = [f"swap{j}" if j in at else w for j, w in enumerate(item)]
+            found = table.overlaps(spaced_seed.tokens(" ".join(["before"] * 3 + piece + ["after"] * 3).encode()))
+            assert len(found) == 1 and found[0].equal >= 0.8 * found[0].length and found[0].length >= min(10, length), (length, at)
+
+
+@pytest.mark.parametrize("parts", [(50, 24, 50, 24, 50), (20, 9, 20, 9, 20), (11, 5, 11, 5, 11)])
+def test_verbatim_runs_apart_are_found(parts):
+    item, words = [f"w{j}" for j in range(sum(parts))], []
+    for k, n in enumerate(parts):
+        words += [f"swap{j}" for j in range(n)] if k % 2 else item[len(words) : len(words) + n]
+    table = spaced_seed.Table.build([spaced_seed.tokens(" ".join(item).encode())])
+    (found,) = table.overlaps(spaced_seed.tokens(" ".join(words).encode()))
+    assert found.length >= max(parts) and found.equal >= 0.8 * found.length
+
+
+def test_equal_to_trying_every_window():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(4)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (5, 7, 9, 10, 14, 25)]
+    table = spaced_seed.Table.build([spaced_seed.tokens(" ".join(x).encode()) for x in items])
+    for _ in range(60):
+        doc = [rng.choice(vocabulary) for _ in range(rng.randrange(30))]
+        want = set()
+        for k, item in enumerate(items):
+            for offset in range(-len(item) + 1, len(doc)):
+                a, b = max(0, -offset), min(len(item), len(doc) - offset)
+                equal = [doc[offset + j] == item[j] for j in range(a, b)]
+                if any(5 * sum(equal[x:y]) >= 4 * (y - x) for x in range(len(equal)) for y in range(x + min(10, len(item)), len(equal) + 1)):
+                    want.add(k)
+        assert {o.item for o in table.overlaps(spaced_seed.tokens(" ".join(doc).encode()))} == want
