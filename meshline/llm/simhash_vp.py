@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -63,16 +63,24 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp long): the 64 bits of each row as a signed long."""
+    """(doc_id, fp long, h long): the 64 bits of each row as a signed long, and
+    the hash of its text, as text_hash() gives it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("simhash_vp", lambda: None)
         for whole in batches:
             for batch in pieces(whole, 1):
-                fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                texts = batch.column(1).to_pylist()
+                fp = np.array([fingerprint(t) for t in texts], np.uint64)
+                h = np.array([SEED if t is None else xxh64_intdigest(t, SEED) for t in texts], np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), pa.array(h.view(np.int64))], ["doc_id", "fp", "h"])
 
-    return id_and_text(docs, doc_id, text).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs, doc_id, text).mapInArrow(run, "doc_id long, fp long, h long")
+
+
+def text_hash(docs: DataFrame, text: str = "text") -> Column:
+    """The same hash in the JVM, a null text's included."""
+    return F.xxhash64(exact(docs, text).cast("binary"))
 
 
 def grow(sample: np.ndarray, depth: int) -> list[tuple[int, int]]:
@@ -229,8 +237,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of `docs`."""
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, h) for every row of `docs`, and (class, tree, component_id)
+    for every fingerprint: the tree that links it and the smallest doc_id there."""
     rows = cut(fingerprints(docs, doc_id, text), "fingerprints")
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     tree = components(links(classes, classes.count()))
@@ -238,23 +247,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     known = tree.unionAll(tree.select(F.col("root").alias("node"), "root").distinct())
     named = known.join(classes, known.node == classes.fp).select("fp", "root", "least")
     smallest = named.groupBy("root").agg(F.min("least").alias("smallest"))
-    joined = named.join(smallest, "root").select(F.col("fp").alias("linked"), "smallest")
-    of_class = classes.join(joined, classes.fp == joined.linked, "left").select(F.col("fp").alias("class"), F.coalesce("smallest", "least").alias("component_id"))
-    of_class = cut(of_class, "components")
+    joined = named.join(smallest, "root").select(F.col("fp").alias("linked"), "root", "smallest")
+    of_class = classes.join(joined, classes.fp == joined.linked, "left").select(F.col("fp").alias("class"), F.coalesce("root", "fp").alias("tree"), F.coalesce("smallest", "least").alias("component_id"))
+    return rows, cut(of_class, "components")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of `docs`."""
+    rows, of_class = grouped(docs, doc_id, text)
     return rows.join(of_class, rows.fp == of_class["class"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that name their component: one of each
-    group. Rows that repeat a doc_id count as copies if they share its component;
-    of them the one with the smallest hash of the whole row stays."""
-    found = cut(near_duplicates(docs), "near-duplicates")
-    named = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    once = named.where("n = 1").select(F.col("doc_id").alias("keep_id"))
-    again = named.where("n > 1").select(F.col("doc_id").alias("keep_id"))
-    at = exact(docs, "doc_id")
-    single = docs.join(once, at.eqNullSafe(once.keep_id), "left_semi")
-    repeats = docs.join(again, at.eqNullSafe(again.keep_id), "left_semi")
+    """The rows of `docs`, all columns: of each component the one with the
+    smallest doc_id, nulls last, then the smallest hash of its text. Components
+    are told apart by their trees, so rows that share a doc_id, or have none,
+    count as copies only if their texts do. Rows alike in both leave one."""
+    rows, of_class = grouped(docs)
+    # one row for each class first, then for each tree; a null doc_id comes last
+    best = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h").alias("best")
+    least = rows.select("fp", best).groupBy("fp").agg(F.min("best").alias("best"))
+    least = least.join(of_class, least.fp == of_class["class"]).groupBy("tree").agg(F.min("best").alias("best"))
+    wanted = least.select(F.col("best.doc_id").alias("keep_id"), F.col("best.h").alias("keep_h"))
+    repeats = rows.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "h")
+    wanted = cut(wanted.join(repeats, wanted.keep_id.eqNullSafe(repeats.doc_id) & (wanted.keep_h == repeats.h), "left").select("keep_id", "keep_h", F.col("h").isNotNull().alias("again")), "near-duplicates")
+    at, h = exact(docs, "doc_id").cast("long"), text_hash(docs)
+
+    def rows_of(keys: DataFrame) -> DataFrame:
+        return docs.join(keys, at.eqNullSafe(keys.keep_id) & (h == keys.keep_h), "left_semi")
+
     row = F.struct(*(exact(docs, c) for c in docs.columns))
-    whole = repeats.groupBy(at.alias("id")).agg(F.min_by(row, F.xxhash64(exact(docs, "text"))).alias("row")).select("row.*")
-    return single.unionAll(whole)
+    whole = rows_of(wanted.where("again")).groupBy(at.alias("id"), h.alias("h")).agg(F.first(row).alias("row")).select("row.*")
+    return rows_of(wanted.where("not again")).unionAll(whole)

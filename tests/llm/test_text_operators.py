@@ -223,6 +223,16 @@ def test_one_of_each(edge_docs, no_docs):
     assert simhash_vp.one_of_each(no_docs).count() == 0 and simhash_vp.near_duplicates(no_docs).count() == 0
 
 
+def test_one_of_each_by_component(spark):
+    """Null and repeated ids: each unrelated text stays, each copy goes."""
+    rng = random.Random(8)
+    a, b, c, d, e, f = (" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(9999)}" for _ in range(60)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b.upper()), (None, c), (7, d), (7, e), (8, d), (3, f), (7, f), (7, f), (9, c), (5, None), (None, ""), (2, "x y z"), (2, "x y z")]
+    kept = simhash_vp.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = Counter((r["doc_id"], (r["text"] or "").lower()) for r in kept)
+    assert found == Counter([(None, a), (None, b), (7, d), (7, e), (3, f), (9, c), (5, ""), (2, "x y z")])
+
+
 # --- decontamination ------------------------------------------------------------------
 
 
