@@ -33,10 +33,10 @@ from meshline.llm.common import begin, id_and_text, pieces
 #: Fixed values of the public byte-level format: its pre-token pattern.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pre-tokens that a worker's table holds before it is emptied: about 130 MB.
-CACHE_ENTRIES = 700_000
+#: Pre-tokens and ids that a worker's table holds before it is emptied: about 50 MB.
+CACHE_ENTRIES, CACHE_IDS = 700_000, 4 << 20
 #: Bytes of text that are encoded together: the more, the fewer distinct pre-tokens for each text.
-GATHERED_BYTES = 6 << 20
+GATHERED_BYTES = 2 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,37 +49,84 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class PieceTable:
-    """Pre-token -> its ids, as a stretch of one growing array. A full table is
-    emptied; what occurs often is soon learnt again."""
+    """Pre-token -> its ids, as a stretch of one growing array.
+
+    A pre-token of up to 15 bytes is its own key, two 64-bit words with its
+    length in the last byte; keys stand in two sorted parts, the smaller of which
+    takes what is new. So an entry costs about 50 bytes and a batch is looked up
+    by gathers; longer pre-tokens are encoded each time. A table that new
+    pre-tokens would fill past its bounds is emptied before they enter it: it
+    holds no more than its bounds or one batch's."""
 
     def __init__(self, new_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.new_pieces = new_pieces
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[str, int] = {"": 0}  # behind a chunk's last pre-token
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def look_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) in `flat` of the ids of each of some distinct pre-tokens."""
-        if len(self.slot) > CACHE_ENTRIES:
+        nothing = tuple(np.zeros(1, kind) for kind in (np.uint64, np.uint64, np.uint64, np.int64, np.int64))  # "", behind a chunk's last pre-token
+        self.parts = [nothing, tuple(x[:0] for x in nothing)]
+
+    def __len__(self) -> int:
+        return sum(len(part[0]) for part in self.parts)
+
+    def look_up(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) in `flat` of the ids of each of some distinct pre-tokens,
+        until the next call."""
+        low, high, long = piece_keys(pieces)
+        mixed = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= mixed >> np.uint64(29)
+        start, size = np.full(len(pieces), -1, np.int64), np.zeros(len(pieces), np.int64)
+        for keys, lows, highs, starts, sizes in self.parts:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, mixed), len(keys) - 1)
+                same = (keys[at] == mixed) & (lows[at] == low) & (highs[at] == high) & ~long
+                start[same], size[same] = starts[at[same]], sizes[at[same]]
+        unknown = np.flatnonzero(start < 0)
+        if not len(unknown):
+            return start, size
+        kept = unknown[~long[unknown]]
+        if len(self) > 1 and (len(self) + len(kept) > CACHE_ENTRIES or self.used > CACHE_IDS):
             self.clear()
-        at = np.fromiter(map(self.slot.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
-        unknown = np.flatnonzero(at < 0)
-        if len(unknown):
-            fresh = [pieces[i] for i in unknown.tolist()]
-            ids, sizes = self.new_pieces(fresh)
-            n = len(self.slot)
-            self.flat = grown(self.flat, self.used + len(ids))
-            self.start, self.size = grown(self.start, n + len(fresh)), grown(self.size, n + len(fresh))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[n : n + len(fresh)] = self.used + np.cumsum(sizes) - sizes
-            self.size[n : n + len(fresh)] = sizes
-            self.used += len(ids)
-            self.slot.update(zip(fresh, range(n, n + len(fresh))))
-            at[unknown] = np.arange(n, n + len(fresh))
-        return self.start[at], self.size[at]
+            return self.look_up(pieces)
+        # those to be kept first: the others' ids stand behind, where the next call's go
+        unknown = np.concatenate([kept, unknown[long[unknown]]])
+        ids, sizes = self.new_pieces(strings(pieces.take(pa.array(unknown))))
+        self.flat = grown(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        start[unknown], size[unknown] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += int(size[kept].sum())
+        self.learn((mixed[kept], low[kept], high[kept], start[kept], size[kept]))
+        return start, size
+
+    def learn(self, new: tuple[np.ndarray, ...]) -> None:
+        large, small = self.parts
+        small = merged(small, new)
+        if len(small[0]) > 20_000 + len(large[0]) // 6:
+            large, small = merged(large, small), tuple(x[:0] for x in small)
+        self.parts = [large, small]
+
+
+def piece_keys(pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first 8 bytes, next 7 and the length, whether there are more) of each."""
+    n = len(pieces)
+    bounds = np.frombuffer(pieces.buffers()[1], np.int32, n + 1, 4 * pieces.offset)
+    first, length = bounds[:-1].astype(np.int64), np.diff(bounds)
+    out, at = np.zeros((n, 16), np.uint8), np.arange(n)
+    data = np.frombuffer(pieces.buffers()[2], np.uint8) if length.any() else None
+    for k in range(15):
+        at = at[length[at] > k]
+        if not len(at):
+            break
+        out[at, k] = data[first[at] + k]
+    out[:, 15] = np.minimum(length, 255)
+    words = out.view("<u8")
+    return words[:, 0].copy(), words[:, 1].copy(), length > 15
+
+
+def merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+    return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b))
 
 
 def grown(array: np.ndarray, least: int) -> np.ndarray:
@@ -122,9 +169,11 @@ class ChunkEncoder:
     def plain(self, text: str) -> np.ndarray:
         """The ids of a text without special tokens, by its pre-tokens."""
         found = self.pattern.findall(text)
-        distinct = {p: i for i, p in enumerate(dict.fromkeys(found))}
-        at, size = self.pieces.look_up(list(distinct))
-        entry = np.fromiter(map(distinct.__getitem__, found), np.int64, len(found))
+        if not found:
+            return np.zeros(0, np.uint32)
+        distinct = pa.array(found, pa.string()).dictionary_encode()
+        at, size = self.pieces.look_up(distinct.dictionary)
+        entry = distinct.indices.to_numpy()
         return gather(self.pieces.flat, at[entry], size[entry])
 
     def encode_uneven(self, text: str) -> np.ndarray:
@@ -151,7 +200,7 @@ class ChunkEncoder:
         spaced = pc.if_else(pc.starts_with(distinct, "\n"), distinct, pc.binary_join_element_wise(" ", distinct, ""))
         inside = pc.split_pattern(pc.replace_substring_regex(spaced, self.IN_CHUNK, "\\0\x1f"), "\x1f")
         pieces = inside.flatten().dictionary_encode()
-        at, length = self.pieces.look_up(strings(pieces.dictionary))
+        at, length = self.pieces.look_up(pieces.dictionary)
         entry = pieces.indices.to_numpy()
         length = length[entry]
         chunk_ids = gather(self.pieces.flat, at[entry], length)
@@ -195,9 +244,9 @@ def gather(flat: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def strings(array: pa.StringArray) -> list[str]:
-    """As to_pylist(), for values without U+001F, by one split."""
-    if not len(array):
-        return []
+    """As to_pylist(), by one split where no value holds U+001F."""
+    if not len(array) or pc.any(pc.match_substring(array, "\x1f")).as_py():
+        return array.to_pylist()
     whole = pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array)
     return pc.binary_join(whole, "\x1f")[0].as_py().split("\x1f")
 
@@ -373,14 +422,16 @@ def id_lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 
 
 def gathered(batches: Iterator[pa.RecordBatch], least_bytes: int = GATHERED_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of `batches`, texts second, in batches of about `least_bytes`."""
+    """The rows of `batches`, texts second, in batches of about `least_bytes`;
+    after each, memory that Arrow no longer uses goes back to the system."""
     held, size = [], 0
     for whole in batches:
-        for batch in pieces(whole, 1):
+        for batch in pieces(whole, 1, least_bytes):
             held.append(batch)
             size += batch.nbytes
             if size >= least_bytes:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()

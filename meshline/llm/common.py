@@ -68,9 +68,10 @@ def filtered(docs: DataFrame, keeper: Callable[[], Callable[[list, list], list]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = keeper()
-        for batch in batches:
-            texts = [None if t is None else t.encode() for t in batch.column(at_text).to_pylist()]
-            yield batch.filter(pa.array(keep(batch.column(at_id).to_pylist(), texts), pa.bool_()))
+        for whole in batches:
+            for batch in pieces(whole, at_text):
+                texts = batch.column(at_text).cast(pa.binary()).to_pylist()
+                yield batch.filter(pa.array(keep(batch.column(at_id).to_pylist(), texts), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

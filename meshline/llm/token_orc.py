@@ -37,7 +37,7 @@ WRITE_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
-    "orc.stripe.size": str(64 << 20),
+    "orc.stripe.size": str(16 << 20),
     "compression": "zstd",
 }
 
