@@ -32,6 +32,9 @@ from meshline.session import scratch_path
 #: The most files whose offsets are broadcast: 16 bytes each, so 16 MB.
 BROADCAST_FILES = 1_000_000
 
+#: Pre-tokens that the library encodes in one call; it keeps about 100 bytes for each id.
+LINES = 20_000
+
 WRITE_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -65,8 +68,11 @@ class LibraryEncoder(ChunkEncoder):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def lines(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all, number of ids of each) of pre-tokens, in one call: a line
-        each, cut at the id of the line break."""
+        """(ids of all, number of ids of each) of pre-tokens, LINES in a call: a
+        line each, cut at the id of the line break."""
+        if len(pieces) > LINES:
+            parts = [self.lines(pieces[a : a + LINES]) for a in range(0, len(pieces), LINES)]
+            return np.concatenate([ids for ids, _ in parts]), np.concatenate([sizes for _, sizes in parts])
         if "\n" in pieces:  # in order, apart from the others
             at = pieces.index("\n")
             parts = [self.lines(x) for x in (pieces[:at], pieces[at + 1 :])]
