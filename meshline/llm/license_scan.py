@@ -7,7 +7,11 @@ find the `regex` library's bounded-error matching, best match first, decides and
 gives the span and the number of edits.
 
 Texts are matched as words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z
-become a-z) joined by single spaces, as UTF-8 bytes, so edits count bytes.
+become a-z) joined by single spaces, as UTF-8 bytes, so edits count bytes. A
+match begins and ends with whole words; a number that is a word of the notice
+(its version) takes no edits and stands next to no other digit, so "version 3"
+or "version two" is no "version 2". Of matches that overlap, the least edited
+stays, then the longest, then the first.
 
 Defined cases: a null or empty text has no words, labels or spans and score 0;
 every place counts, repeated ones too; a text is matched whole, however long.
@@ -15,6 +19,7 @@ every place counts, repeated ones too; a text is matched whole, however long.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -62,6 +67,15 @@ NOTICES = (
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start_word:long,end_word:long,edits:int,matched:string>>"
 
 
+def pattern(notice: Notice) -> regex.Pattern:
+    """A notice between word borders, with bounded errors between its numbers,
+    best match first."""
+    parts = regex.split(r"(?<![^ ])([0-9]+)(?![^ ])", notice.phrase)
+    bound = f"{{e<={notice.edits}}}" if notice.edits else ""
+    own = [rf"(?<![0-9]){x}(?![0-9])" if k % 2 else f"(?:{regex.escape(x, literal_spaces=True)}){bound}" for k, x in enumerate(parts) if x]
+    return regex.compile(f"(?b)(?<![^ ]){''.join(own)}(?![^ ])")
+
+
 class Scanner:
     def __init__(self, notices: tuple[Notice, ...] = NOTICES):
         self.notices = notices
@@ -75,42 +89,35 @@ class Scanner:
         for seed, where in found.items():
             self.seeds.add_word(seed, (len(seed), tuple(where)))
         self.seeds.make_automaton()
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n.phrase, literal_spaces=True)}){{e<={n.edits}}}" if n.edits else regex.escape(n.phrase, literal_spaces=True)) for n in notices]
-        self.digits = [regex.sub("[^0-9]", "", n.phrase) for n in notices]
-
-    def candidates(self, text: str) -> set[tuple[int, int, int]]:
-        """(notice, start, stop) of stretches of text; each occurrence with few
-        enough edits lies in that of an unchanged piece."""
-        out = set()
-        for end, (size, where) in self.seeds.iter(text):
-            for k, offset in where:
-                n = self.notices[k]
-                start = end + 1 - size - offset
-                out.add((k, max(0, start - n.edits), min(len(text), start + len(n.phrase) + n.edits)))
-        return out
+        self.patterns = [pattern(n) for n in notices]
+        self.exact = [n.phrase for n in notices]
+
+    def candidates(self, text: str) -> set[tuple[int, int]]:
+        """(notice, where it would start) by an unchanged piece; an occurrence
+        with few enough edits starts at most so many places from there."""
+        return {(k, end + 1 - size - offset) for end, (size, where) in self.seeds.iter(text) for k, offset in where}
 
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(start, end, edits, notice) of the verified matches; of overlapping
-        ones the least edited stays, then the longest, then the first."""
-        found = set()
-        for k, a, b in self.candidates(text):
-            m = self.patterns[k].search(text, a, b)
-            if not m:
+        """(start, end, edits, notice) of the verified matches, by position."""
+        found, n = set(), len(text)
+        for k, start in self.candidates(text):
+            notice, phrase = self.notices[k], self.exact[k]
+            a, b = max(0, start - notice.edits), min(n, start + len(phrase) + notice.edits)
+            end = start + len(phrase)
+            if start >= 0 and text.startswith(phrase, start) and (start == 0 or text[start - 1] == " ") and (end == n or text[end] == " "):
+                found.add((start, end, 0, k))
                 continue
-            s, e = m.span()
-            while s < e and text[s] == " ":
-                s += 1
-            while e > s and text[e - 1] == " ":
-                e -= 1
-            cut_words = (s > 0 and text[s - 1] != " ") + (e < len(text) and text[e] != " ")
-            edits = sum(m.fuzzy_counts) + cut_words
-            if edits <= self.notices[k].edits and regex.sub("[^0-9]", "", text[s:e]) == self.digits[k]:
-                found.add((s, e, edits, k))
+            if b < n:  # no match ends inside a word
+                b = text.rfind(" ", a, b + 1)
+            m = self.patterns[k].search(text, a, b) if b > a else None
+            if m and sum(m.fuzzy_counts) <= notice.edits:
+                found.add((*m.span(), sum(m.fuzzy_counts), k))
         out: list[tuple[int, int, int, int]] = []
         for x in sorted(found, key=lambda x: (x[2], x[0] - x[1], x[0], x[3])):
-            if all(x[1] <= y[0] or x[0] >= y[1] for y in out):
-                out.append(x)
-        return sorted(out)
+            at = bisect.bisect_left(out, x)
+            if (at == len(out) or x[1] <= out[at][0]) and (at == 0 or out[at - 1][1] <= x[0]):
+                out.insert(at, x)
+        return out
 
     def scan(self, raw: bytes | None) -> tuple:
         words = (raw or b"").translate(WORD_BYTES).split()
@@ -127,11 +134,12 @@ class Scanner:
         starts = {at: padded.count(b" ", 0, at) for at in ({min(places), max(places)} if places else ())}
         base_labels = ",".join(sorted(labels))
         text, score, spans = padded[1:-1].decode("latin-1"), 1.0 if places else 0.0, []
+        first, upto = 0, 0
         for s, e, edits, k in self.spans(text):
             n = self.notices[k]
             labels.add(n.label)
             score = max(score, 1 - edits / len(n.phrase))
-            first = text.count(" ", 0, s)
+            first, upto = first + text.count(" ", upto, s), s
             spans.append({"label": n.label, "start_word": first, "end_word": first + text.count(" ", s, e) + 1, "edits": edits, "matched": text[s:e].encode("latin-1").decode("utf-8", "replace")})
         return len(words), len(places), starts[min(places)] if places else None, starts[max(places)] if places else None, base_labels, ",".join(sorted(labels)), score, spans
 
