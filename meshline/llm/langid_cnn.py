@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from meshline.llm.common import begin, by_hash, exact, filtered, id_and_text, pieces, small_batches
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
-#: The bound of the training sample: rows in all, dealt evenly to the languages, and windows of each row.
-SAMPLE_ROWS, ROW_WINDOWS = 4096, 4
+#: The bound of the training sample: rows in all, dealt evenly to the languages; their texts are whole.
+SAMPLE_ROWS = 4096
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -110,10 +110,16 @@ class Scorer:
 
 
 def train(rows: list[tuple[bytes, str]], steps: int = 500, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam over windows drawn evenly from the languages."""
+    """Adam over windows drawn evenly from the languages, their texts and the
+    windows of each text."""
     languages = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
-    parts = {lang: np.concatenate([windows_of(raw) for raw, x in rows if x == lang]) for lang in languages}
+    texts = {lang: [windows_of(raw) for raw, x in rows if x == lang] for lang in languages}
+
+    def window(lang: str) -> np.ndarray:
+        own = texts[lang][rng.integers(len(texts[lang]))]
+        return own[rng.integers(len(own))]
+
     wide = sum(WIDTHS) * EMBED
     p = {
         "embed": rng.normal(0, 0.5, (256, EMBED)),
@@ -125,7 +131,7 @@ def train(rows: list[tuple[bytes, str]], steps: int = 500, batch: int = 64, rate
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(1, steps + 1 if len(languages) > 1 else 1):
         y = rng.integers(0, len(languages), batch)
-        x = np.stack([parts[languages[c]][rng.integers(len(parts[languages[c]]))] for c in y])
+        x = np.stack([window(languages[c]) for c in y])
         cut = rng.integers(32, WINDOW + 1, batch)  # short texts occur too
         x = np.where(np.arange(WINDOW) < np.where(rng.random(batch) < 0.3, cut, WINDOW)[:, None], x, 0)
         e = p["embed"][x]
@@ -170,8 +176,8 @@ def held_out(doc_id: Column) -> Column:
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[bytes, str]]:
     """At most `rows` rows with a language, none held out, evenly many of each
-    language (by the hash of their id), each as ROW_WINDOWS excerpts spread over
-    its text. Ids are chosen first, so only chosen documents' texts move."""
+    language (by the hash of their id), with whole texts. Ids are chosen first,
+    so only chosen documents' texts move."""
     small_batches(docs.sparkSession)
     own = docs.select(exact(docs, "doc_id").cast("long").alias("id"), exact(docs, "lang").cast("string").alias("lang"), exact(docs, "text").alias("text"))
     usable = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("id").isNotNull() & ~held_out(F.col("id")))
@@ -187,11 +193,8 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[byte
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(by_hash(F.col("id")), "id"))
     chosen = low.withColumn("r", rank).where(F.col("r") <= each).limit(rows).select("id").distinct()
     few = docs.sparkSession.createDataFrame([(r["id"],) for r in chosen.collect()], "id long")  # at most `rows`
-    text = F.col("text")
-    spread = [F.substring(text, (F.length(text) * k / ROW_WINDOWS).cast("int") + 1, F.lit(WINDOW)) for k in range(ROW_WINDOWS)]
-    excerpt = F.when(F.length(text) <= WINDOW * ROW_WINDOWS, text).otherwise(F.concat_ws("", *spread))
-    got = usable.join(F.broadcast(few), "id").select("id", "lang", excerpt.alias("excerpt")).groupBy("id", "lang").agg(F.min("excerpt").alias("excerpt"))
-    return [(x.encode(), lang) for _, lang, x in sorted((r["id"], r["lang"], r["excerpt"]) for r in got.toLocalIterator())]
+    got = usable.join(F.broadcast(few), "id").groupBy("id", "lang").agg(F.min("text").alias("text"))
+    return [(x.encode(), lang) for _, lang, x in sorted((r["id"], r["lang"], r["text"]) for r in got.toLocalIterator())]
 
 
 def fit_language(docs: DataFrame) -> Network:
@@ -214,9 +217,12 @@ def identify(docs: DataFrame, network: Network, doc_id: str = "doc_id", text: st
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, network: Network, languages: list[str] | None = None, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose language is known with probability `least`, and
-    among `languages` where given; all columns."""
+def keep_identified(docs: DataFrame, network: Network, languages: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """The rows of `docs` with a language, of probability `least` or more and
+    among `languages` where given; all columns. Texts without a letter go; if no
+    labelled row was there to learn from, all rows stay."""
+    if not network.languages:
+        return docs
     net = docs.sparkSession.sparkContext.broadcast(network)
 
     def keeper() -> Callable[[list, list], list]:
