@@ -1,7 +1,7 @@
 """Quality verdicts: a few exact rules and a calibrated linear model.
 
 The model is a logistic regression over hashed word n-grams (1 and 2 words) and
-byte n-grams (2 to 4 bytes), each family as relative frequencies in a table of
+character n-grams (2 to 4 code points), each family as relative frequencies in a table of
 2**16 weights. It is trained in numpy on a bounded sample of labelled rows and
 its score calibrated (Platt) on a part of the sample kept out of training.
 Documents are scored in Arrow batches, whole texts, against a fixed threshold.
@@ -24,32 +24,32 @@ from pyspark.sql import functions as F
 from meshline.llm.common import begin, by_hash, exact, filtered, id_and_text, pieces, small_batches
 
 BITS = 16
-#: Rows of each label, and bytes of a row's excerpts, that training looks at.
-SAMPLE_ROWS, EXCERPT, EXCERPTS = 1500, 3000, 3
+#: Rows of each label that training looks at; their texts are whole.
+SAMPLE_ROWS = 1500
 #: A document stays if the calibrated probability of good quality reaches this.
 THRESHOLD = 0.5
 #: Fixed values of the rules.
 MIN_WORDS, MOST_REPEATED_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 
-MIX = np.uint32(2654435761)
+MIX, NEXT = np.uint32(2654435761), np.uint32(0x01000193)
 FAMILIES = 5
 
 
 def grams(raw: bytes, words: list[bytes] | None = None, known: dict[bytes, int] | None = None) -> list[np.ndarray]:
-    """Table slots of each n-gram: words 1, 2, then bytes 2, 3, 4."""
+    """Table slots of each n-gram: words 1, 2, then characters 2, 3, 4."""
     words = raw.split() if words is None else words
     known = WORD_HASHES if known is None else known
     if len(known) > 200_000:
         known.clear()
     w = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
-    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    two = b[:-1] | b[1:] << 8
-    three = two[:-1] | b[2:] << 16
-    four = three[:-1] | b[3:] << 24
+    c = np.frombuffer(raw, np.uint8).astype(np.uint32) if raw.isascii() else np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    two = c[:-1] * NEXT + c[1:]
+    three = two[:-1] * NEXT + c[2:]
+    four = three[:-1] * NEXT + c[3:]
     pairs = w[:-1] * np.uint32(0x9E3779B1) + w[1:]
     shift = np.uint32(32 - BITS)
-    return [(w * MIX) >> shift, (pairs * MIX) >> shift, two, (three * MIX) >> shift, (four * MIX) >> shift]
+    return [(x * MIX) >> shift for x in (w, pairs, two, three, four)]
 
 
 class WordHashes(dict):
@@ -140,22 +140,18 @@ def platt(kept: list[tuple[float, int]]) -> tuple[float, float]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[bytes, int]]:
     """At most `rows` labelled documents of each quality, those of the smallest
-    hash of their id, as EXCERPTS excerpts from start, middle and end. Ids and
-    labels are chosen first, so only chosen documents' texts move; repeated rows
-    of one id count once."""
+    hash of their id, with whole texts. Ids and labels are chosen first, so only
+    chosen documents' texts move; repeated rows of one id count once."""
     small_batches(docs.sparkSession)
-    marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("q")).where("id is not null and q in (0, 1)")
+    marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("q")).where("id is not null and q in (0, 1)").distinct()
     chosen = marks.where("q = 0").orderBy(by_hash(F.col("id")), "id").limit(rows).unionAll(marks.where("q = 1").orderBy(by_hash(F.col("id")), "id").limit(rows))
     held = {(r["id"], r["q"]) for r in chosen.collect()}  # at most 2 x rows
     if not held:
         return []
     few = docs.sparkSession.createDataFrame(sorted(held), "id long, q int")
-    text = F.col("text")
-    at = [F.lit(1), F.greatest(F.lit(1), (F.length(text) / 2).cast("int") - EXCERPT // 2), F.greatest(F.lit(1), F.length(text) - EXCERPT + 1)]
-    excerpt = F.when(F.length(text) <= EXCERPT * EXCERPTS, text).otherwise(F.concat_ws("\n", *(F.substring(text, p, F.lit(EXCERPT)) for p in at)))
     own = docs.select(exact(docs, "doc_id").cast("long").alias("id"), exact(docs, "text").alias("text")).where("text is not null")
-    found = own.join(F.broadcast(few), "id").select("id", "q", excerpt.alias("excerpt")).groupBy("id", "q").agg(F.min("excerpt").alias("excerpt"))
-    got = sorted((r["id"], r["q"], r["excerpt"]) for r in found.toLocalIterator())
+    found = own.join(F.broadcast(few), "id").groupBy("id", "q").agg(F.min("text").alias("text"))
+    got = sorted((r["id"], r["q"], r["text"]) for r in found.toLocalIterator())
     return [(x.encode(), q) for _, q, x in sorted(got, key=lambda r: hash_order(r[0]))]
 
 
