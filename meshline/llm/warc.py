@@ -46,6 +46,8 @@ LEVEL = 1
 
 
 class Record(NamedTuple):
+    """headers: by lower-case name."""
+
     headers: dict[str, str]
     payload: bytes
 
@@ -79,22 +81,23 @@ def render(page_id: int | None, url: str | None, payload: bytes, size: int, dige
 
 def parse(raw: bytes) -> Record:
     head, _, rest = raw.partition(b"\r\n\r\n")
-    headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
-    return Record(headers, rest[: int(headers["Content-Length"])])
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    headers = {name.strip().lower(): value.strip() for name, _, value in lines}
+    return Record(headers, rest[: int(headers["content-length"])])
 
 
 def records_of(stream: BinaryIO) -> Iterator[bytes]:
     """The raw records of a gzip file of one or more members, inflated once,
-    front to back; memory holds one record and one chunk."""
-    inflate, held = zlib.decompressobj(31), bytearray()
+    front to back; memory holds one record and one chunk. A stream that ends
+    inside a record or a member, or before the first, is an error."""
+    inflate, held, ended, members = zlib.decompressobj(31), bytearray(), True, 0
     need = None
     while chunk := stream.read(CHUNK):
-        while chunk:
+        while chunk := chunk.lstrip(b"\0") if ended else chunk:  # zeros may fill up behind a member
             held += inflate.decompress(chunk)
-            chunk = inflate.unused_data
-            if inflate.eof:
-                inflate = zlib.decompressobj(31)
-                chunk = chunk.lstrip(b"\0")
+            chunk, ended = inflate.unused_data, inflate.eof
+            if ended:
+                inflate, members = zlib.decompressobj(31), members + 1
         while True:
             if need is None:
                 end = held.find(b"\r\n\r\n")
@@ -108,8 +111,8 @@ def records_of(stream: BinaryIO) -> Iterator[bytes]:
             yield bytes(held[:need])
             del held[:need]
             need = None
-    if held:
-        raise ValueError(f"{len(held)} bytes after the last whole record")
+    if held or not ended or not members:
+        raise ValueError(f"the stream is cut off: {len(held)} bytes after the last whole record")
 
 
 def normalise(source: BinaryIO, target: BinaryIO) -> Iterator[tuple[int, int, Record]]:
@@ -165,11 +168,11 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
-    """One gzip stream of WARC records for each partition; gives their paths."""
+    """One gzip stream of WARC records for each partition; gives (file, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
-        part, out, path = TaskContext.get().partitionId(), None, ""
+        part, out, path, n = TaskContext.get().partitionId(), None, "", 0
         pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         for batch in batches:
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
@@ -177,24 +180,27 @@ def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
                     path = f"{root}/part-{part:06d}.warc.gz"
                     out = Output(fs, path)
                 out.stream.write(pack.compress(render(page_id, url, html, len(html), digest_of(html), refers_to, refers_to is not None)))
+                n += 1
         if out is not None:
             out.stream.write(pack.flush())
             out.__exit__(None)
-            yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}.warc.gz"])], ["file"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}.warc.gz"]), pa.array([n], pa.int64())], ["file", "records"])
 
-    return records.select("page_id", "url", "html", "refers_to").mapInArrow(run, "file string")
+    return records.select("page_id", "url", "html", "refers_to").mapInArrow(run, "file string, records long")
 
 
 def normalise_files(files: DataFrame, source: str, target: str, remove: bool = False) -> DataFrame:
     """Normalise each file of `source` into `target`, with a sidecar of JSON
-    lines beside it; gives (file, records). remove: the source goes once its
-    normalised form is in place."""
+    lines beside it; gives (file, records). Where `files` tells how many records
+    a file holds, another number found is an error, and nothing is put in place.
+    remove: the source goes once its normalised form is in place."""
+    told = F.col("records").cast("long") if "records" in files.columns else F.lit(None).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, old = open_fs(source)
         _, new = open_fs(target)
         for batch in batches:
-            for file in batch.column(0).to_pylist():
+            for file, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n, done = 0, f"{new}/index/{file}.jsonl"
                 if fs.get_file_info(f"{old}/{file}").type == pa.fs.FileType.NotFound and fs.get_file_info(done).type == pa.fs.FileType.File:
                     n = -1  # an earlier attempt came as far as removing the source
@@ -202,13 +208,15 @@ def normalise_files(files: DataFrame, source: str, target: str, remove: bool = F
                     with fs.open_input_stream(f"{old}/{file}", compression=None) as stream, Output(fs, f"{new}/data/{file}") as data, Output(fs, done) as index:
                         for offset, length, record in normalise(stream, data):
                             h = record.headers
-                            index.write(json.dumps({"file": file, "offset": offset, "length": length, "id": h["WARC-Record-ID"], "type": h["WARC-Type"]}).encode() + b"\n")
+                            index.write(json.dumps({"file": file, "offset": offset, "length": length, "id": h["warc-record-id"], "type": h["warc-type"]}).encode() + b"\n")
                             n += 1
+                        if expected is not None and n != expected:
+                            raise ValueError(f"{file} holds {n} records, not {expected}")
                     if remove:
                         fs.delete_file(f"{old}/{file}")
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([n], pa.int64())], ["file", "records"])
 
-    return files.select("file").mapInArrow(run, "file string, records long")
+    return files.select("file", told.alias("records")).mapInArrow(run, "file string, records long")
 
 
 INDEX = "file string, offset long, length long, id string, type string"
@@ -232,11 +240,11 @@ def read_records(spark: SparkSession, folder: str, where: str | None = None) ->
                     held, stream = file, fs.open_input_file(f"{root}/data/{file}")
                 record = parse(zlib.decompress(stream.read_at(length, offset), 31))
                 h = record.headers
-                revisit, digest = h["WARC-Type"] == "revisit", h["WARC-Payload-Digest"].removeprefix("sha1:")
+                revisit, digest = h["warc-type"] == "revisit", h["warc-payload-digest"].removeprefix("sha1:")
                 if not revisit and digest_of(record.payload) != digest:
                     raise ValueError(f"{file} at {offset}: the payload does not have its digest")
-                size = int(h["WARC-Payload-Length"]) if revisit else len(record.payload)
-                out.append((number(h["WARC-Record-ID"]), h["WARC-Target-URI"], None if revisit else record.payload, size, digest, h["WARC-Type"], number(h.get("WARC-Refers-To"))))
+                size = int(h["warc-payload-length"]) if revisit else len(record.payload)
+                out.append((number(h["warc-record-id"]), h["warc-target-uri"], None if revisit else record.payload, size, digest, h["warc-type"], number(h.get("warc-refers-to"))))
             kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         if stream is not None:
