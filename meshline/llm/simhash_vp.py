@@ -7,7 +7,9 @@
    has a vantage point and a radius m. A fingerprint at distance d from it goes
    inside if d <= m, else outside; one outside with d <= m + 3 goes inside too,
    as by the triangle inequality only those can have a neighbour inside. So each
-   pair at distance 3 or less meets in the shard of one of the two.
+   pair at distance 3 or less meets in the shard of one of the two. The largest
+   shard is split next, by the cheapest of a few vantage points and all radii,
+   never so that one side keeps nearly all.
 4. Each shard goes on splitting in the same way in numpy and compares small
    leaves exactly. It returns the spanning links of what it found, at most one
    for each fingerprint that it holds, not all pairs.
@@ -22,8 +24,10 @@ only if nothing else is in it.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -36,8 +40,10 @@ from meshline.llm.common import begin, exact, id_and_text, pieces
 from meshline.session import cut
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
-#: Fingerprints that pick the vantage points of the top levels, at least and for each shard; fingerprints that a shard should hold; the most shards; rows that a leaf compares all with all.
-SAMPLE, SHARD_SAMPLE, SHARD_ROWS, MOST_SHARDS, LEAF = 8192, 4, 20_000, 1 << 16, 512
+#: Fingerprints that the tree is grown on, at least and at most; fingerprints that a shard should hold; the most shards; rows that a leaf compares all with all.
+SAMPLE, MOST_SAMPLE, SHARD_ROWS, MOST_SHARDS, LEAF = 8192, 1 << 18, 20_000, 1 << 16, 512
+#: A node is split only if neither side keeps more than this share of it, and by the best of so many vantage points.
+MOST_KEPT, VANTAGES = 0.9, 4
 #: Bit b of byte value v.
 BITS_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -83,37 +89,82 @@ def text_hash(docs: DataFrame, text: str = "text") -> Column:
     return F.xxhash64(exact(docs, text).cast("binary"))
 
 
-def grow(sample: np.ndarray, depth: int) -> list[tuple[int, int]]:
-    """The top of the tree as a heap of (vantage point, radius): the children of
-    node i are 2i+1 (inside) and 2i+2 (outside). A vantage point is the sample's
-    first fingerprint there. The radius lies a little below the median distance
-    to it, so that either side, the inside with its border, gets about as much."""
-    nodes: list[tuple[int, int]] = []
-    held = {0: sample}
-    for i in range((1 << depth) - 1):
-        own = held.pop(i, sample[:1])
-        own = own if len(own) else sample[:1]
-        d = np.bitwise_count(own ^ own[0])
-        m = int(np.median(d[1:]) - 2) if len(d) > 1 else 30
-        nodes.append((int(own[0]), m))
-        held[2 * i + 1], held[2 * i + 2] = own[d <= m + RADIUS], own[d > m]
-    return nodes
-
-
-def route(fps: np.ndarray, nodes: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+class Tree(NamedTuple):
+    """Nodes with a vantage point, a radius, and children: other nodes, or
+    ``~shard``. Without nodes there is one shard."""
+
+    vantage: np.ndarray
+    radius: np.ndarray
+    inside: np.ndarray
+    outside: np.ndarray
+
+    @property
+    def shards(self) -> int:
+        return len(self.vantage) + 1
+
+
+def best_split(values: np.ndarray) -> tuple[int, int, np.ndarray] | None:
+    """(vantage point, radius, distances) of the cheapest split of some sorted
+    fingerprints, by the work in the inside with its border and in the outside;
+    none if each would leave more than MOST_KEPT of them on one side."""
+    best, n = None, len(values)
+    for v in values[n // (2 * VANTAGES) :: max(1, n // VANTAGES)][:VANTAGES]:
+        d = np.bitwise_count(values ^ v).astype(np.int64)
+        count = np.cumsum(np.bincount(d, minlength=65 + RADIUS))
+        widened, outside = count[RADIUS : 65 + RADIUS], n - count[:65]
+        cost = np.where(np.maximum(widened, outside) <= MOST_KEPT * n, widened**1.6 + outside**1.6, np.inf)
+        m = int(cost.argmin())
+        if cost[m] < np.inf and (best is None or cost[m] < best[0]):
+            best = (cost[m], int(v), m, d)
+    return best and best[1:]
+
+
+def grow(sample: np.ndarray, rows: float, most: int = MOST_SHARDS) -> Tree:
+    """Split the largest shard again and again, until each holds at most `rows`
+    of the sample, can't be split, or there are `most`."""
+    nodes: list[list[int]] = []
+    shards = 1
+    heap = [(-len(sample), 0, np.sort(sample), -1, 0)]  # size, order, rows, and the place that names the shard
+    names: list[tuple[int, int]] = []
+    tick = 0
+    while heap:
+        size, _, own, node, side = heapq.heappop(heap)
+        found = best_split(own) if -size > max(2, rows) and shards < most else None
+        if found is None:
+            names.append((node, side))
+            continue
+        vantage, m, d = found
+        nodes.append([vantage, m, 0, 0])
+        shards += 1
+        if node >= 0:
+            nodes[node][side] = len(nodes) - 1
+        for k, part in ((2, own[d <= m + RADIUS]), (3, own[d > m])):
+            tick += 1
+            heapq.heappush(heap, (-len(part), tick, part, len(nodes) - 1, k))
+    for shard, (node, side) in enumerate(names):
+        if node >= 0:
+            nodes[node][side] = ~shard
+    columns = list(zip(*nodes)) or [(), (), (), ()]
+    return Tree(np.array(columns[0], np.uint64), *(np.array(c, np.int64) for c in columns[1:]))
+
+
+def route(fps: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
     """(row, shard) for each shard that a fingerprint visits."""
-    row, at = np.arange(len(fps)), np.zeros(len(fps), np.int64)
-    depth = (len(nodes) + 1).bit_length() - 1
-    vantage = np.array([v for v, _ in nodes], np.uint64)
-    radius = np.array([m for _, m in nodes], np.int64)
-    for _ in range(depth):
-        d = np.bitwise_count(fps[row] ^ vantage[at]).astype(np.int64)
-        m = radius[at]
+    row, at = np.arange(len(fps)), np.full(len(fps), 0 if len(tree.vantage) else ~0, np.int64)
+    rows, shards = [], []
+    while True:
+        ended = at < 0
+        rows.append(row[ended])
+        shards.append(~at[ended])
+        row, at = row[~ended], at[~ended]
+        if not len(row):
+            return np.concatenate(rows), np.concatenate(shards)
+        d = np.bitwise_count(fps[row] ^ tree.vantage[at]).astype(np.int64)
+        m = tree.radius[at]
         inside = d <= m
         near = ~inside & (d <= m + RADIUS)
         row = np.concatenate([row, row[near]])
-        at = np.concatenate([np.where(inside, 2 * at + 1, 2 * at + 2), 2 * at[near] + 1])
-    return row, at - len(nodes)
+        at = np.concatenate([np.where(inside, tree.inside[at], tree.outside[at]), tree.inside[at[near]]])
 
 
 class Union:
@@ -144,21 +195,11 @@ def spanning_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while todo:
         own = todo.pop()
         values = fps[own]
-        if len(own) > LEAF:
-            # of a few candidates, the one that leaves the fewest rows near the border
-            best = None
-            for v in values[:: max(1, len(values) // 4)][:4]:
-                d = np.bitwise_count(values ^ v).astype(np.int64)
-                count = np.cumsum(np.bincount(d, minlength=65 + RADIUS))
-                for m in range(65):
-                    inside, widened = int(count[m]), int(count[min(m + RADIUS, 64 + RADIUS - 1)])
-                    cost = widened**1.6 + (len(own) - inside) ** 1.6
-                    if max(widened, len(own) - inside) <= 0.9 * len(own) and (best is None or cost < best[0]):
-                        best = (cost, d, m)
-            if best:
-                _, d, m = best
-                todo += [own[d <= m + RADIUS], own[d > m]]
-                continue
+        found = best_split(values) if len(own) > LEAF else None
+        if found:
+            _, m, d = found
+            todo += [own[d <= m + RADIUS], own[d > m]]
+            continue
         # A leaf, or rows that no vantage point parts well: compare in blocks, so
         # that memory is bounded by LEAF x LEAF; each block's rows take the least
         # root that they reach, so a dense group costs no union for each pair.
@@ -186,12 +227,12 @@ def spanning_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def links(classes: DataFrame, count: int) -> DataFrame:
     """(a long, b long): spanning links between distinct fingerprints `fp`."""
     spark = classes.sparkSession
-    depth = min(MOST_SHARDS, max(1, -(-count // SHARD_ROWS))) - 1
-    depth = max(2, depth.bit_length())
-    sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, SHARD_SAMPLE << depth)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    taken = min(MOST_SAMPLE, max(SAMPLE, 16 * count // SHARD_ROWS))
+    sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(taken).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     if not len(sample):
         return spark.createDataFrame([], "a long, b long")
-    tree = spark.sparkContext.broadcast(grow(sample, depth))
+    grown = grow(sample, min(SHARD_ROWS, count / 8) * len(sample) / count)
+    tree = spark.sparkContext.broadcast(grown)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +246,7 @@ def links(classes: DataFrame, count: int) -> DataFrame:
         return pd.DataFrame({"a": fps[a].view(np.int64), "b": fps[b].view(np.int64)})
 
     # few bytes, much work: the number of partitions is set, as AQE would join them by their size
-    dealt = classes.select("fp").mapInArrow(deal, "shard long, fp long").repartition(max(8, 1 << depth), "shard")
+    dealt = classes.select("fp").mapInArrow(deal, "shard long, fp long").repartition(max(8, 2 * grown.shards), "shard")
     return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
