@@ -14,16 +14,21 @@ joined in page order by a line break.
 
 Defined cases: a null or empty html, or one without content, gives an empty
 text; unclosed elements end with their parents; `<br>` is white space inside a
-block; what follows an unclosed comment is part of it; pages are read whole.
+block; what follows an unclosed comment, script or style is part of it, while
+other dropped elements that don't close drop only their tag; elements nested
+deeper than MOST_DEPTH count to the one at that depth; pages are read whole.
+Parsing takes time in proportion to the page.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,16 +38,23 @@ from pyspark.sql import DataFrame
 
 from meshline.llm.common import exact, pieces, small_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+STOP = re.compile("[>\"']")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 LABEL = re.compile(r'data-main="([01])"')
 WORD = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements without main text, dropped with all they hold; those of RAW hold no elements.
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-DROPPED = RAW | frozenset("head template svg math object audio video canvas button select option optgroup datalist input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark noscript object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas stand inside their blocks.
+INLINE |= frozenset("math annotation mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+#: Elements without main text, dropped with all they hold: scripts, styles, parts of forms, graphics and what only shows where media can't be played. Those of RAW hold no elements.
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+DROPPED = RAW | frozenset("template svg audio video canvas button select option optgroup datalist input".split())
+#: Tags that are passed over; what they hold counts.
+PASSED = frozenset(("head",))
+#: Elements nested deeper than this count to the element at that depth.
+MOST_DEPTH = 512
 #: Start tags before which an open element of the named kinds ends.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody"), "option": ("option",)}
@@ -71,9 +83,64 @@ class Page(NamedTuple):
     labels: list[int]
 
 
+class Source:
+    """A page's characters, with what is learnt on the way, so that no stretch
+    is searched twice for an end that isn't there."""
+
+    def __init__(self, html: str):
+        self.html, self.last_end = html, html.rfind(">")
+        self.last_quote = {q: html.rfind(q) for q in "\"'"}
+        self.astray: set[int] = set()  # quotes from which no way leads to the end of a tag
+        self.matches: dict[str, dict[int, int] | list[tuple[int, int]]] = {}
+
+    def tag_end(self, at: int) -> int:
+        """The `>` of a tag whose attributes start at `at`: one outside quotes,
+        or if quotes don't close, the first; -1 if none."""
+        html, pos, met = self.html, at, []
+        while m := STOP.search(html, pos):
+            i, c = m.start(), m[0]
+            if c == ">":
+                return i
+            if i in self.astray:
+                break
+            met.append(i)
+            if i >= self.last_quote[c]:
+                break
+            pos = html.index(c, i + 1) + 1
+        self.astray.update(met)
+        return html.find(">", at)
+
+    def after(self, name: str, start: int, at: int) -> int:
+        """Where the dropped element ends whose tag spans `start` to `at`."""
+        known = self.matches.get(name)
+        if known is None:
+            known = self.matches[name] = self.closers(name) if name in RAW else self.pairs(name)
+        if name in RAW:
+            k = bisect.bisect_left(known, (at, 0))
+            if k < len(known):
+                return known[k][1]
+            follows = self.html.find("<", at) if name == "title" else -1  # an open title ends at the next tag
+            return follows if follows >= 0 else len(self.html)
+        return known.get(start, at)
+
+    def closers(self, name: str) -> list[tuple[int, int]]:
+        return [m.span() for m in re.finditer(rf"</{name}\b[^>]*+>?", self.html, re.I)]
+
+    def pairs(self, name: str) -> dict[int, int]:
+        """Start of each element of this kind -> its end; open ones are left out."""
+        found, held = {}, []
+        for m in re.finditer(rf"<(/?){name}\b[^>]*+>?", self.html, re.I):
+            if not m[1]:
+                held.append(m.start())
+            elif held:
+                found[held.pop()] = m.end()
+        return found
+
+
 def parse(html: str) -> Page:
     tags, parent, attrs, text_size, link_size = ["html"], [-1], [""], [0], [0]
     stack, names = [0], ["html"]  # open block elements
+    opened = Counter(names)
     runs: list[tuple[int, str]] = []
     run: list[str] = []
     links = 0  # open <a>
@@ -93,35 +160,52 @@ def parse(html: str) -> Page:
         if links:
             link_size[stack[-1]] += len(text.strip())
 
-    at, n = 0, len(html)
-    while at < n:
-        m = TOKEN.search(html, at)
-        if m is None:
-            add(html[at:])
+    def close(down_to: int) -> None:
+        opened.subtract(names[down_to:])
+        del names[down_to:], stack[down_to:]
+
+    source, at, told, n = Source(html), 0, 0, len(html)  # told: where text not yet added starts
+    while True:
+        i = html.find("<", at)
+        if i < 0:
             break
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        closing, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
+        if html.startswith("<!--", i):
+            m, end = None, html.find("-->", i + 4)
+            end = n if end < 0 else end + 3
+        else:
+            if i > source.last_end:  # no tag ends any more; a comment may begin
+                at = html.find("<!--", i)
+                if at < 0:
+                    break
+                continue
+            m = TAG.match(html, i + 1)
+            end = source.tag_end(m.end()) if m else html.find(">", i) if html[i + 1] in "!?/" else -1
+            if end < 0:
+                at = i + 1
+                continue
+            end += 1
+        if i > told:
+            add(html[told:i])
+        at = told = end
+        if not m:
+            continue
+        closing, name, rest = m[1], m[2].lower(), html[m.end() : end - 1]
+        if name in PASSED:
             continue
-        name = name.lower()
         if closing:
             if name == "a":
                 links = max(0, links - 1)
-            elif name not in INLINE and name in names:
+            elif name not in INLINE and opened[name] > 0:
                 flush()
-                while names[-1] != name and len(stack) > 1:
-                    stack.pop()
-                    names.pop()
-                if len(stack) > 1:
-                    stack.pop()
-                    names.pop()
+                k = len(names) - 1
+                while names[k] != name and k > 0:
+                    k -= 1
+                close(max(1, k))
                 links = 0
             continue
         if name in DROPPED:
             if name not in VOID and not rest.endswith("/"):
-                at = after(html, name, at)
+                at = told = source.after(name, i, end)
             run.append(" ")
             continue
         if name in INLINE:
@@ -134,17 +218,17 @@ def parse(html: str) -> Page:
         links = 0
         if name in VOID:
             continue
-        if name in ("html", "body") and name in names:
+        if name in ("html", "body") and opened[name] > 0:
             continue
         ends = SIBLINGS.get(name) or (("p",) if name in ENDS_P else ())
-        if ends:
+        if any(opened[x] > 0 for x in ends):
             for k in range(len(names) - 1, 0, -1):
                 if names[k] in ends:
-                    del names[k:], stack[k:]
+                    close(k)
                     break
                 if names[k] in SCOPES:
                     break
-        if rest.endswith("/") and name not in TAG_AT:
+        if rest.endswith("/") and name not in TAG_AT or len(stack) > MOST_DEPTH:
             continue
         parent.append(stack[-1])
         tags.append(name)
@@ -153,6 +237,9 @@ def parse(html: str) -> Page:
         link_size.append(0)
         stack.append(len(tags) - 1)
         names.append(name)
+        opened[name] += 1
+    if told < n:
+        add(html[told:])
     flush()
 
     last: dict[int, str] = dict(runs)
@@ -182,28 +269,6 @@ def parse(html: str) -> Page:
     return Page(parent, features, kind, runs, labels)
 
 
-CLOSERS: dict[str, re.Pattern] = {}
-
-
-def after(html: str, name: str, at: int) -> int:
-    """Where a dropped element ends; a nested one of its kind is counted."""
-    pattern = CLOSERS.get(name)
-    if pattern is None:
-        pattern = CLOSERS[name] = re.compile(rf"<(/?){name}\b[^>]*+>?", re.I)
-    depth = 1
-    for m in pattern.finditer(html, at):
-        if m[1]:
-            depth -= 1
-            if not depth:
-                return m.end()
-        elif name not in RAW:
-            depth += 1
-    if name in ("head", "title"):
-        m = re.compile(r"<body\b", re.I).search(html, at)
-        return m.start() if m else len(html)
-    return len(html) if name in RAW else at
-
-
 KINDS = 4
 
 
