@@ -116,5 +116,7 @@ def shard(docs: DataFrame, shards: int = 16, dimensions: tuple[str, ...] = ("siz
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, **options: object) -> None:
     """The rows of `docs` as Parquet, a folder for each shard, sorted by slot."""
-    placed = shard(docs, shards, carry=True, **options)
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").select("row.*", F.col("shard").alias("__shard")).write.partitionBy("__shard").parquet(path)
+    placed, folder = shard(docs, shards, carry=True, **options), "__shard"
+    while folder.lower() in (c.lower() for c in docs.columns):
+        folder += "_"
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").select("row.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
