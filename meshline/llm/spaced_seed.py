@@ -11,21 +11,26 @@ alike enough; if it isn't, the longest stretch that is alike enough is tried.
 The masks lose nothing: a stretch of 10 tokens or more that is 80 % equal holds
 one of 10 tokens with two replaced or of 15 with three (a longer one has a half
 that is as alike), and the masks hit all of those; whole items of 5 to 9 tokens,
-of which one may be replaced, have masks of four tokens of their own. This holds
-for LEAST_TOKENS and LEAST_EQUAL, and for stricter limits.
+of which one may be replaced, have masks of four tokens of their own, and items of up to four tokens, none of
+which may be replaced, are looked up whole. This holds for LEAST_TOKENS and
+LEAST_EQUAL, and for stricter limits.
 
 The benchmark is a query set: it is read in blocks of a bounded number of
 windows, whose table is broadcast, and each block is held against all documents.
-
-Tokens are words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z become a-z,
-so case and punctuation play no part. Defined cases: null and empty texts have
-no tokens and no overlap; an item of SHORTEST tokens up to the least overlap
-must overlap whole, alike enough; a shorter one is not searched; repeated rows each give their
-own result; texts are searched whole.
+Of several blocks, one at a time is in memory: its result is written to the
+shared folder before the next is read.
+
+Tokens are words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after letters become
+lower case, so case and punctuation play no part. Defined cases: null and empty
+texts have no tokens and no overlap; an item of fewer tokens than the least
+overlap must overlap whole, alike enough, down to items of SHORTEST tokens; an
+item with a null item_id is searched too and gives a null item_id; repeated rows
+each give their own result; texts are searched whole.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from fractions import Fraction
 from typing import NamedTuple
@@ -36,14 +41,19 @@ from pyspark.sql import DataFrame
 from xxhash import xxh64_intdigest
 
 from meshline.llm.common import WORD_BYTES, begin, exact, filtered, id_and_text, pieces
+from meshline.session import cut
 
-#: Fixed masks for items of LEAST_TOKENS and more, each of six tokens of at most ten, and for shorter ones.
-LONG_MASKS = ("1101111", "10111011", "11110101", "111010011", "1100001111")
-SHORT_MASKS = ("1111", "10111", "11011", "11101")
-MASKS = LONG_MASKS + SHORT_MASKS
 #: An overlap has this many tokens (or the whole item), of which this share is equal.
 LEAST_TOKENS, LEAST_EQUAL = 10, 0.8
-SHORTEST = 5
+#: Tokens of the shortest item that is searched: 1, so all are.
+SHORTEST = 1
+#: Fixed masks for items of LEAST_TOKENS and more, each of six tokens of at most ten, for shorter ones, and for those that may have no token replaced.
+LONG_MASKS = ("1101111", "10111011", "11110101", "111010011", "1100001111")
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
+WHOLE_MASKS = ("111", "11", "1")
+MASKS = LONG_MASKS + SHORT_MASKS + WHOLE_MASKS
+#: The least and most tokens of the items that each mask is for.
+SEARCHED = [(LEAST_TOKENS, 1 << 62)] * len(LONG_MASKS) + [(len(m), LEAST_TOKENS - 1) for m in SHORT_MASKS] + [(len(m), len(m)) for m in WHOLE_MASKS]
 #: Windows of the benchmark in one broadcast table: with five masks and 24 bytes an entry about 60 MB.
 BLOCK_WINDOWS = 500_000
 
@@ -115,11 +125,9 @@ class Table(NamedTuple):
         total = sum(map(len, items))
         bits = min(26, max(16, (32 * max(1, total)).bit_length()))
         shift, parts = 64 - bits, ([], [], [], [])
-        long = [i for i, ids in enumerate(items) if len(ids) >= LEAST_TOKENS]
-        short = [i for i, ids in enumerate(items) if SHORTEST <= len(ids) < LEAST_TOKENS]
-        places = {i: scaled(items[i]) for i in long + short}
-        for mask in range(len(MASKS)):
-            searched = long if mask < len(LONG_MASKS) else short
+        places = [scaled(ids) for ids in items]
+        for mask, (fewest, most) in enumerate(SEARCHED):
+            searched = [i for i, ids in enumerate(items) if fewest <= len(ids) <= most]
             own = [seeds(places[i], mask) for i in searched]
             h = np.concatenate([np.zeros(0, np.uint64), *own])
             item = np.repeat(np.array(searched, np.int32), [len(x) for x in own])
@@ -189,11 +197,11 @@ def longest_stretch(equal: np.ndarray, share: Fraction, least: int) -> tuple[int
     return lo, hi
 
 
-def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[tuple[list[int], list[np.ndarray]]]:
+def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
     """Item ids and tokens, in blocks of at most BLOCK_WINDOWS windows; an item
     that is longer is a block of its own."""
-    rows = benchmark.select(exact(benchmark, item_id).cast("long").alias("i"), exact(benchmark, text).cast("binary").alias("t")).where("i is not null and t is not null")
-    ids: list[int] = []
+    rows = benchmark.select(exact(benchmark, item_id).cast("long").alias("i"), exact(benchmark, text).cast("binary").alias("t")).where("t is not null")
+    ids: list[int | None] = []
     items: list[np.ndarray] = []
     held = 0
     for r in rows.toLocalIterator():
@@ -213,14 +221,25 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -
 SCHEMA = "doc_id long, item_id long, doc_start long, item_start long, length long, equal long, score double"
 
 
+def with_more(found: Iterator[tuple]) -> Iterator[tuple]:
+    """Each element, and whether there are more than one in all."""
+    first, second = next(found, None), next(found, None)
+    for x in itertools.chain([first] if first else [], [second] if second else [], found):
+        yield *x, second is not None
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_TOKENS, share: float = LEAST_EQUAL) -> DataFrame:
     """A row (SCHEMA) for each document and item that overlap, the best overlap;
     clean documents have none. One narrow pass for each block of the benchmark."""
     spark = docs.sparkSession
     out = spark.createDataFrame([], SCHEMA)
-    for ids, items in blocks(benchmark):
+    for ids, items, more in with_more(blocks(benchmark)):
         held = spark.sparkContext.broadcast((ids, items))
-        out = out.unionAll(id_and_text(docs, doc_id, text).mapInArrow(searcher(held, least, share), SCHEMA))
+        found = id_and_text(docs, doc_id, text).mapInArrow(searcher(held, least, share), SCHEMA)
+        if more:
+            found = cut(found, "overlaps")
+            held.unpersist()
+        out = out.unionAll(found)
     return out
 
 
@@ -243,9 +262,12 @@ def searcher(held, least: int, share: float):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TOKENS, share: float = LEAST_EQUAL) -> DataFrame:
     """The rows of `docs`, all columns, that overlap with no item."""
-    for _, items in blocks(benchmark):
+    for _, items, more in with_more(blocks(benchmark)):
         held = docs.sparkSession.sparkContext.broadcast(items)
         docs = filtered(docs, keeper(held, least, share))
+        if more:
+            docs = cut(docs, "decontaminated")
+            held.unpersist()
     return docs
 
 
