@@ -3,8 +3,10 @@ import hashlib
 import gzip
 import io
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,10 +59,41 @@ def test_normaliser_round_trip():
         list(warc.records_of(io.BytesIO(gzip.compress(records[0] + b"WARC/1.1\r\n"))))
 
 
+def test_truncation_at_every_byte_is_an_error():
+    records = [warc.render(i, "u", p, len(p), warc.digest_of(p), None, False) for i, p in enumerate((b"one", b"", b"three" * 40))]
+    for whole in (gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        ends = {0}  # borders of members, where a shorter file is a whole one
+        for k in range(1, len(records)):
+            ends.add(sum(len(gzip.compress(r)) for r in records[:k]) if whole != gzip.compress(b"".join(records)) else 0)
+        assert len(list(warc.records_of(io.BytesIO(whole + b"\0" * 700)))) == 3
+        for at in range(len(whole)):
+            if at in ends - {0}:
+                continue
+            with pytest.raises((ValueError, zlib.error)):
+                list(warc.records_of(io.BytesIO(whole[:at])))
+
+
+def test_source_stays_unless_all_records_are_there(spark, tmp_path):
+    records = [warc.render(i, "u", b"x", 1, warc.digest_of(b"x"), None, False) for i in range(3)]
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole/a.warc.gz").write_bytes(b"".join(map(gzip.compress, records[:2])))  # cut at the border of a member
+    files = spark.createDataFrame([("a.warc.gz", 3)], "file string, records long")
+    with pytest.raises(Exception, match="holds 2 records, not 3"):
+        warc.normalise_files(files, f"file://{tmp_path}/whole", f"file://{tmp_path}", remove=True).collect()
+    assert (tmp_path / "whole/a.warc.gz").exists() and not list((tmp_path / "data").glob("*.gz"))
+
+
+def test_foreign_headers():
+    raw = b"WARC/1.0\r\nwarc-type:response\r\nWARC-RECORD-ID: <urn:x>\r\ncontent-length:3\r\n\r\nabc\r\n\r\n"
+    (raw_again,) = warc.records_of(io.BytesIO(gzip.compress(raw)))
+    record = warc.parse(raw_again)
+    assert record.payload == b"abc" and record.headers["warc-type"] == "response" and record.headers["warc-record-id"] == "<urn:x>"
+
+
 def test_normaliser_task_can_run_again(spark, pages, tmp_path):
     folder = f"file://{tmp_path}"
     files = warc.write_monolithic(warc.plan_records(pages), f"{folder}/whole").collect()
-    df = spark.createDataFrame(files, "file string")
+    df = spark.createDataFrame(files, "file string, records long")
     assert warc.normalise_files(df, f"{folder}/whole", folder, remove=True).agg(F.sum("records")).first()[0] == pages.count()
     assert warc.normalise_files(df, f"{folder}/whole", folder, remove=True).count() == len(files)
     assert warc.read_records(spark, folder).count() == pages.count()
@@ -133,6 +166,75 @@ def test_odd_pages(extractor, html):
     assert isinstance(extractor.text(html), str)
 
 
+@pytest.mark.parametrize(
+    "html",
+    ["<svg>" * 200_000, "<button>" * 125_000, '<p title="x>' * 80_001, "<p a='>\"" * 100_000, "<div>" * 200_000, "<b" * 500_000, "</x><div>" * 100_000, "<!-" * 300_000, "<title>" * 140_000, "<p><ul>" * 140_000, "<p '\">" * 140_001 + "'>"],
+    ids=["svg", "button", "quotes", "mixed quotes", "div", "no end", "closers", "comments", "title", "lists", "both"],
+)
+def test_a_megabyte_in_linear_time(html):
+    began = time.process_time()
+    html_tree.parse(html)
+    assert time.process_time() - began < 10
+
+
+def test_open_head_and_inline_kinds(extractor):
+    body = "<article><h1>Heading of it</h1><p>Some words that are the text of this page, long enough.</p><p>Formula <math><mi>x</mi><mo>=</mo><mn>1</mn></math> inside a <noscript>quiet</noscript> <object>held</object> sentence of the text.</p></article>"
+    want = "Heading of it\nSome words that are the text of this page, long enough.\nFormula x=1 inside a quiet held sentence of the text."
+    for head in ("<html><head><title>T</title>", "<html><head><title>T</title></head><body>", "<html><head><meta charset=x><style>p{}</style>", "<head><title>T"):
+        assert extractor.text(head + body) == want
+
+
+def article_of(html):
+    """The text of an article's own blocks, by another parser."""
+
+    class Blocks(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.out, self.now = 0, [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside += 1
+            if tag not in html_tree.INLINE:
+                self.flush()
+            elif tag == "br":
+                self.now.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag not in html_tree.INLINE:
+                self.flush()
+            if tag == "article":
+                self.inside -= 1
+
+        def handle_data(self, data):
+            if self.inside:
+                self.now.append(data)
+
+        def flush(self):
+            if text := " ".join("".join(self.now).split()):
+                self.out.append(text)
+            self.now = []
+
+    found = Blocks()
+    found.feed(html)
+    found.close()
+    return found.out
+
+
+def test_whole_texts_equal_the_articles(spark):
+    """Blocks of the pages' articles are in the text, whole and in order."""
+    pages = [r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    got = {r["page_id"]: r["text"].split("\n") for r in html_tree.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    blocks = lost = extra = 0
+    for r in pages:
+        want = article_of(r["html"] or "")
+        blocks += len(want)
+        lost += len((Counter(want) - Counter(got[r["page_id"]])))
+        extra += len((Counter(got[r["page_id"]]) - Counter(want)))
+    print(f"blocks {blocks} lost {lost} extra {extra}")
+    assert blocks > 1000 and lost + extra <= 0.02 * blocks
+
+
 def test_extract(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = html_tree.extract(pages.unionByName(spark.createDataFrame([(999, None, None)], pages.schema))).collect()
@@ -180,5 +282,7 @@ def test_shards_prune_each_dimension(spark, corpus, tmp_path):
     hilbert.write_shards(corpus, path, 8, dimensions=("n_chars", "lang", "source"))
     back = spark.read.parquet(path)
     assert back.count() == corpus.count() and set(back.columns) == {*corpus.columns, "__shard"}
+    hilbert.write_shards(corpus.withColumn("__Shard", F.lit(1)), path + "2", 8)
+    assert spark.read.parquet(path + "2").select("__shard").distinct().count() == 1
     langs = back.groupBy("__shard").agg(F.countDistinct("lang").alias("n")).agg(F.avg("n")).first()[0]
     assert langs < 3  # of four, mixed in every shard without the curve

@@ -1,5 +1,8 @@
 import hashlib
+import pathlib
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -110,3 +113,35 @@ def test_files_have_indexes_and_bloom_filters(spark, corpus, tmp_path):
 
     file = next((tmp_path / "tokens").glob("*.orc"))
     assert orc.ORCFile(str(file)).nrows > 0
+
+
+def test_memory_of_a_worker_that_meets_only_new_words():
+    """Growth of the process, its peak included, stays below 300 MB."""
+    code = """
+import random, resource, sys
+import pyarrow as pa
+from meshline.llm import bpe, token_orc
+encoder = token_orc.library_encoder(sys.argv[1])
+encoder.encode_column(pa.array([b"some words"]))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rng = random.Random(1)
+word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 12)))
+def batches():
+    for _ in range(3):
+        texts = [" ".join(word() for _ in range(700)).encode() for _ in range(512)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(512)), pa.array(texts)], ["doc_id", "text"])
+for batch in bpe.gathered(batches()):
+    encoder.encode_column(batch.column(1), 2)
+    assert len(encoder.pieces) <= bpe.CACHE_ENTRIES
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    grown = subprocess.run([sys.executable, "-c", code, PATH], capture_output=True, text=True, check=True, cwd=str(pathlib.Path(__file__).parents[2]))
+    assert int(grown.stdout) < 300
+
+
+def test_full_table_is_emptied(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 300)
+    encoder = token_orc.LibraryEncoder(PATH)
+    for k in range(0, 400, 50):
+        for text, ids in by_text(encoder, odd_strings(400)[k : k + 50]):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
