@@ -245,14 +245,68 @@ def test_tree_has_no_shard_that_keeps_all(depth, clustered):
     assert len(row) <= 1.35**depth * len(fps)
 
 
+def plain_groups(rows):
+    """Groups of near copies: five-word shingles, 80 % or more in common, tried for all pairs."""
+    words = {i: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "") for i, t in rows}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in words.items()}
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset() for i, w in words.items()}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    links = 0
+    holders = {}
+    for i, own in sets.items():
+        for x in own or [()]:
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in holders.values() for a, b in itertools.combinations(sorted(ids), 2)}
+    for a, b in pairs:
+        n = len(sets[a] & sets[b])
+        if sets[a] == sets[b] or n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            links += sets[a] != sets[b]
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    return {i: root(i) for i in sets}, links
+
+
+def test_one_of_each_equals_brute_force(spark):
+    """Near copies of many kinds: nothing but copies goes, and nearly all do."""
+    rng = random.Random(4)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    long = [t for _, t in rows if t and len(t.split()) > 80]
+    for k in range(300):
+        words = rng.choice(long).split(" ")
+        for at in rng.sample(range(len(words)), max(1, round(len(words) * rng.choice([0.002, 0.01, 0.02, 0.05])))):
+            words[at] = f"swap{rng.randrange(10**6)}"
+        rows.append((10_000 + k, " ".join(words[rng.randrange(3) :])))
+    groups, links = plain_groups(rows)
+    kept = {r["doc_id"] for r in simhash_vp.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wanted = set(groups.values())
+    assert links > 100 and wanted <= kept  # the smallest id of each group stays
+    gone, should = len(rows) - len(kept), len(rows) - len(wanted)
+    print(f"{gone} of {should} copies found, {links} links")
+    assert gone >= 0.95 * should
+
+
 def test_one_of_each(edge_docs, no_docs):
     kept = simhash_vp.one_of_each(edge_docs)
     assert kept.schema == edge_docs.schema
-    near = {r["doc_id"]: r["component_id"] for r in simhash_vp.near_duplicates(edge_docs).collect()}
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({c for c in near.values() if c is not None})
+    groups, _ = plain_groups([(r["doc_id"], r["text"]) for r in edge_docs.collect() if r["doc_id"] is not None])
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(groups.values()))
     assert simhash_vp.one_of_each(no_docs).count() == 0 and simhash_vp.near_duplicates(no_docs).count() == 0
 
 
+def test_near_copies_in_great_number(spark):
+    """A dense group: each of 400 texts differs from a common one in its own word."""
+    words = [f"w{j}" for j in range(120)]
+    rows = [(i, " ".join(f"own{i}" if j == i % 120 else w for j, w in enumerate(words))) for i in range(400)] + [(900, "some other words that stand alone here")]
+    kept = simhash_vp.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 900]
+
+
 def test_one_of_each_by_component(spark):
     """Null and repeated ids: each unrelated text stays, each copy goes."""
     rng = random.Random(8)
