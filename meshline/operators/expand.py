@@ -101,17 +101,20 @@ def within_budget(nodes: DataFrame, text: str, budget: int = BUDGET, reserved: i
     """Rows that fit a token budget (RT-13): groups are given up in the order of
     `trim`, in each the farthest hop first; anchors (hop 0) and labels of no
     group stay. A token is counted as four characters, rounded up. Adds
-    `tokens`, `used` (running sum in order of importance).
-
-    The neighbourhood is bounded by its expansion, so one window holds it."""
+    `tokens`, `used` (running sum in order of importance): sums of the range
+    partitions before, and the sum inside, so no task holds all rows."""
     group = F.lit(len(trim))
     for k, (_, labels) in enumerate(trim):
         group = F.when(F.col("label").isin(*labels), k).otherwise(group)
     importance = F.when(F.col("hop") == 0, len(trim) + 1).otherwise(group)
-    w = Window.orderBy(F.desc("__importance"), "hop", "id").rowsBetween(Window.unboundedPreceding, 0)
+    order = (F.desc("__importance"), F.col("hop"), F.col("id"))
     rated = nodes.withColumn("tokens", F.ceil(F.length(F.col(text)) / 4)).withColumn("__importance", importance)
-    summed = rated.withColumn("used", F.sum("tokens").over(w))
-    return summed.where((F.col("used") <= budget - reserved) | (F.col("__importance") >= len(trim))).drop("__importance")
+    placed = cut(rated.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "budget").withColumn("__part", F.shiftright("__at", 33))
+    totals = placed.groupBy("__part").agg(F.sum("tokens").alias("n"))  # a row for each range partition
+    before = totals.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    inside = F.sum("tokens").over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    summed = placed.withColumn("used", inside).join(F.broadcast(before), "__part").withColumn("used", F.col("used") + F.col("__before"))
+    return summed.where((F.col("used") <= budget - reserved) | (F.col("__importance") >= len(trim))).drop("__importance", "__at", "__part", "__before")
 
 
 def serialise(subgraph: Subgraph, text: str, budget: int = BUDGET) -> str:

@@ -1,7 +1,7 @@
 """The driver's tables seen as a transit-like property graph, and the registry
 of named queries with their SQL equivalents.
 
-Route = supplier, Station = part, SERVES = a line item of 50 or more pieces,
+Route = supplier, Station = part, SERVES = two or more line items of the pair,
 Trip = order, SCHEDULED_AT = line item, Zone = nation, Region = region,
 Interruption = an event of value 100 or more, Outage = the errors of a user.
 """
@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 
 #: Views that several SQL equivalents start with.
 VIEWS = {
-    "serves": "serves AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_quantity >= 50)",
+    "serves": "serves AS (SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2)",
     "und": "und AS (SELECT src AS a, 1000000000 + dst AS b FROM serves UNION SELECT 1000000000 + dst, src FROM serves)",
     "intr": "intr AS (SELECT event_id AS id, user_id, event_type, value, ts, strftime(ts, '%Y%m%d') AS date, CASE WHEN value >= 250 THEN 'SEVERE' ELSE 'WARNING' END AS severity FROM events WHERE value >= 100)",
     "rail": "rail AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey, CASE WHEN s_nationkey < 12 THEN 'Rail' ELSE 'Bus' END AS mode FROM supplier)",
@@ -48,7 +48,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def serves(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_quantity >= 50").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    calls = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count("*").alias("n"))
+    return calls.where("n >= 2").select("src", "dst")
 
 
 def bipartite(spark: SparkSession, d: str) -> DataFrame:

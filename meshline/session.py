@@ -22,19 +22,27 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.checkpoint.dir": LOCAL_CHECKPOINTS,
         "spark.ui.enabled": "false",
-        "spark.driver.memory": "8g",
-        "spark.driver.host": "127.0.0.1",
-    } | conf
+    }
+    if is_local(master):
+        settings |= {"spark.checkpoint.dir": LOCAL_CHECKPOINTS, "spark.driver.memory": "8g", "spark.driver.host": "127.0.0.1"}
+    settings |= conf
     return SparkSession.builder.master(master).appName("meshline").config(map=settings).getOrCreate()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's
-    ``spark.checkpoint.dir``; a local one is set only where it is unset."""
+    ``spark.checkpoint.dir``. Where it is unset a local one is set if the master
+    is local; on a cluster that is an error, as executors share no local folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
         found = LOCAL_CHECKPOINTS
     return found

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshline.functions.columns import decode, largest_delay, translation
+from meshline.session import cut
+from meshline.sources.wire import messages
 
 log = logging.getLogger(__name__)
 
@@ -51,10 +53,10 @@ def read_json(spark: SparkSession, path: str, schema: str, source: str = "") ->
     return spark.read.schema(schema).json(path).withColumn("source", F.lit(source))
 
 
-def read_messages(spark: SparkSession, path: str, decode_message: Callable[[bytes], list[dict]], source: str = "") -> DataFrame:
+def read_messages(spark: SparkSession, path: str, decode_message: Callable[[bytes], list[dict]] = messages, source: str = "") -> DataFrame:
     """Landed binary messages (SRC-06): files are read by Spark and decoded where
     they lie, a file a row; `decode_message` gives a message's entities as JSON
-    text or dicts."""
+    text or dicts, by default those of a real-time feed message."""
     import json
 
     import pyarrow as pa
@@ -69,14 +71,15 @@ def read_messages(spark: SparkSession, path: str, decode_message: Callable[[byte
     return parsed.select("e.*", F.lit(source).alias("source"))
 
 
-def read_all(sources: dict[str, Callable[[], DataFrame]]) -> DataFrame | None:
+def read_all(sources: dict[str, Callable[[], DataFrame]], land: bool = True) -> DataFrame | None:
     """The union of all sources that answer, each row tagged; one that fails is
-    left out and logged (SRC-07)."""
+    left out and logged (SRC-07). land: each source is read and written to the
+    shared folder by itself, so one that can't be read to its end fails alone."""
     out = None
     for name, read in sources.items():
         try:
             part = read().withColumn("source", F.lit(name))
-            part.schema  # noqa: B018  analysis: a missing path fails here
+            part = cut(part, "source") if land else part.select("*")  # a missing path fails in analysis
         except Exception as e:  # any source can be down
             log.warning("source %s is left out: %s", name, str(e).splitlines()[0])
             continue

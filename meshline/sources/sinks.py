@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,19 +16,39 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def files_of(spark: SparkSession, path: str) -> tuple[object, Callable[[str], object]]:
+    """The file system of a path, and what makes a path object."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def settle(spark: SparkSession, path: str) -> None:
+    """Finish a swap that a lost driver left between its two renames: the new
+    table takes the name if it was written whole, else the old one comes back.
+    Call it before reading a table that replace() keeps."""
+    fs, at = files_of(spark, path)
+    new, old = f"{path}.new", f"{path}.old"
+    if not fs.exists(at(path)):
+        if fs.exists(at(f"{new}/_SUCCESS")):
+            fs.rename(at(new), at(path))
+        elif fs.exists(at(old)):
+            fs.rename(at(old), at(path))
+    if fs.exists(at(path)):
+        fs.delete(at(old), True)
+
+
 def replace(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Replace a table that `df` may itself read: write beside it, then swap. A
-    failed job leaves the old table."""
-    jvm = spark.sparkContext._jvm
+    """Replace a table that `df` may itself read: write beside it, then swap by
+    two renames. A failed job leaves the old table; settle() mends a swap that
+    was cut off."""
+    settle(spark, path)
+    fs, at = files_of(spark, path)
     new, old = f"{path}.new", f"{path}.old"
     df.write.mode("overwrite").parquet(new)
-    fs_path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(fs_path(old), True)
-    if fs.exists(fs_path(path)):
-        fs.rename(fs_path(path), fs_path(old))
-    fs.rename(fs_path(new), fs_path(path))
-    fs.delete(fs_path(old), True)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    fs.rename(at(new), at(path))
+    fs.delete(at(old), True)
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:

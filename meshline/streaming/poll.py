@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from meshline.operators.upsert import merge_create_match, resolve_stale
-from meshline.sources.sinks import replace
+from meshline.sources.sinks import replace, settle
 
 
 def new_content(polls: DataFrame, hash_column: str, time: str, delay: str = "1 hour") -> DataFrame:
@@ -41,6 +41,7 @@ def keep_state(polls: DataFrame, path: str, key: str = "composite_key") -> DataS
     def step(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
             spark = batch.sparkSession
+            settle(spark, path)
             replace(spark, merge_poll(spark.read.parquet(path), batch, key), path)
 
     return polls.writeStream.foreachBatch(step)
@@ -61,8 +62,18 @@ def run_until_empty(writer: DataStreamWriter, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_complete(result: DataFrame, path: str, checkpoint: str) -> None:
+    """Take all that a stream has and keep its whole aggregate as a table at
+    `path`, windows that are still open included."""
+
+    def step(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    run_until_empty(result.writeStream.outputMode("complete").foreachBatch(step), checkpoint)
+
+
 def tolerant(readers: dict[str, Callable[[], DataFrame]]) -> DataFrame | None:
     """The union of the streams that can be opened."""
     from meshline.sources.realtime import read_all
 
-    return read_all(readers)
+    return read_all(readers, land=False)

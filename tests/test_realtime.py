@@ -1,10 +1,12 @@
 import hashlib
 import json
+import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from meshline.plans import accessibility, interruption
-from meshline.sources import realtime
+from meshline.sources import realtime, wire
 
 
 def entities(spark, tmp_path):
@@ -66,3 +68,57 @@ def test_outages(spark, tmp_path, rows):
     path.write_text(json.dumps(listed))
     out = accessibility.outages(realtime.incidents(spark, str(path)), F.lit("2024-02-01"))
     assert rows(out, "composite_key", "severity", "projected_duration_days", "status") == [("A01N01|1705276800000|1705363200000", 3, 3, "active"), ("A01N02|0|0", 2, None, "active")]
+
+
+def key(number, kind):
+    return varint(number << 3 | kind)
+
+
+def varint(value):
+    value &= (1 << 64) - 1
+    out = bytearray()
+    while value > 0x7F:
+        out.append(value & 0x7F | 0x80)
+        value >>= 7
+    return bytes([*out, value])
+
+
+def held(number, raw):
+    raw = raw.encode() if isinstance(raw, str) else raw
+    return key(number, 2) + varint(len(raw)) + raw
+
+
+def number(n, value):
+    return key(n, 0) + varint(value)
+
+
+def test_wire_messages(spark, tmp_path):
+    trip = held(1, "T1") + held(5, "RED") + held(3, "20240105") + number(4, 3)
+    stop = number(1, 4) + held(2, number(1, -30) + number(2, 1704440000)) + held(4, "S9") + number(5, 1)
+    update = held(3, held(1, trip) + held(2, stop) + held(2, number(1, 5)) + number(4, 1704441234) + number(5, -60))
+    text = held(1, held(1, "Elevator out") + held(2, "en"))
+    alert = held(5, held(1, number(1, 7) + number(2, 9)) + held(5, held(2, "RED") + held(4, held(1, "T1"))) + number(6, 9) + number(7, 1) + held(10, text) + number(14, 4))
+    position = held(4, held(2, key(1, 5) + struct.pack("<f", 38.5)) + key(99, 1) + bytes(8) + held(7, "S9"))
+    feed = held(1, held(1, "2.0")) + held(2, held(1, "e1") + update) + held(2, held(1, "e2") + alert) + held(2, held(1, "e3") + position)
+    one, two, three = wire.messages(feed)
+    assert one["trip_update"]["delay"] == -60 and one["trip_update"]["stop_time_update"][0]["arrival"]["delay"] == -30
+    assert two["alert"]["header_text"] == [{"text": "Elevator out", "language": "en"}] and two["alert"]["active_period"] == [{"start": 7, "end": 9}]
+    assert three["vehicle"] == {"position": {"latitude": 38.5}, "stop_id": "S9"}
+    (tmp_path / "poll.pb").write_bytes(feed)
+    rows = realtime.read_messages(spark, str(tmp_path / "poll.pb"), source="rail").orderBy("id").collect()
+    assert [r["id"] for r in rows] == ["e1", "e2", "e3"] and rows[0]["trip_update"]["trip"]["route_id"] == "RED" and rows[0]["source"] == "rail"
+    trips, stops = realtime.trip_updates(realtime.read_messages(spark, str(tmp_path / "poll.pb")))
+    assert trips.first()["schedule_relationship"] == "CANCELED" and stops.count() == 2
+    for at in (len(feed) - 1, len(feed) - 3):
+        with pytest.raises((ValueError, IndexError)):
+            wire.messages(feed[:at])
+
+
+def test_source_that_breaks_when_read_is_left_out(spark, tmp_path):
+    (tmp_path / "good").mkdir()
+    (tmp_path / "bad").mkdir()
+    spark.range(3).write.mode("overwrite").parquet(str(tmp_path / "good"))
+    (tmp_path / "bad/part-0.parquet").write_bytes(b"PAR1 not a table PAR1")
+    schema = "id long"
+    found = realtime.read_all({"a": lambda: spark.read.parquet(str(tmp_path / "good")), "b": lambda: spark.read.schema(schema).parquet(str(tmp_path / "bad")), "c": lambda: spark.read.parquet(str(tmp_path / "none"))})
+    assert sorted((r["id"], r["source"]) for r in found.collect()) == [(0, "a"), (1, "a"), (2, "a")]

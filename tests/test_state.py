@@ -1,9 +1,11 @@
 import json
+import shutil
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from meshline import session
 from meshline.operators import upsert as U
 from meshline.operators.validate import Check, guard_sql, run_checks, targets_exist
 from meshline.sources import feeds, sinks
@@ -99,3 +101,33 @@ def test_statements_and_replace(spark, tmp_path):
     spark.range(3).write.parquet(path)
     sinks.replace(spark, spark.read.parquet(path).where("id > 0"), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_cut_off_swaps_are_settled(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for left, want in ((["t"], 3), (["t.old", "t.new"], 5), (["t.old"], 3), (["t", "t.old"], 3)):
+        for name in left:
+            spark.range(5 if name == "t.new" else 3).write.parquet(str(tmp_path / name))
+        sinks.settle(spark, path)
+        assert spark.read.parquet(path).count() == want and not (tmp_path / "t.old").exists()
+        sinks.replace(spark, spark.read.parquet(path).limit(1), path)
+        assert spark.read.parquet(path).count() == 1 and sorted(x.name for x in tmp_path.iterdir()) == ["t"]
+        shutil.rmtree(path)
+
+
+def test_shared_folder_off_local_masters(monkeypatch):
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(Session())
+    assert session.is_local("local[4]") and session.is_local("local") and not session.is_local("local-cluster[2,1,512]")
