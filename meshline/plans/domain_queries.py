@@ -199,11 +199,11 @@ def cl13_impact_score(spark, d):
     return a.join(b, "unit").withColumn("impact", F.round(F.lit(1.0) * F.col("outages") * F.col("trips") / (F.col("outages") + F.col("trips")), 3))
 
 
-@query("SELECT o_orderkey AS trip, round(o_totalprice - coalesce(disc, 0), 2) AS cost, CASE WHEN disc IS NULL THEN 'full' ELSE 'discounted' END AS kind FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice * l_discount) AS disc FROM lineitem WHERE l_discount >= 0.09 GROUP BY 1) ON l_orderkey = o_orderkey")
+@query("SELECT o_orderkey AS trip, CAST(round(CAST(o_totalprice AS DECIMAL(18, 4)) - coalesce(disc, 0), 2) AS DOUBLE) AS cost, CASE WHEN disc IS NULL THEN 'full' ELSE 'discounted' END AS kind FROM orders LEFT JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice * l_discount AS DECIMAL(18, 4))) AS disc FROM lineitem WHERE l_discount >= 0.09 GROUP BY 1) ON l_orderkey = o_orderkey")
 def cl14_optional_discount(spark, d):
     o = table(spark, d, "orders")
-    l = table(spark, d, "lineitem").where("l_discount >= 0.09").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("disc"))  # noqa: E741
-    return o.join(l, o.o_orderkey == l.l_orderkey, "left").select(F.col("o_orderkey").alias("trip"), F.round(F.col("o_totalprice") - F.coalesce("disc", F.lit(0.0)), 2).alias("cost"), F.when(F.col("disc").isNull(), "full").otherwise("discounted").alias("kind"))
+    l = table(spark, d, "lineitem").where("l_discount >= 0.09").groupBy("l_orderkey").agg(F.sum((F.col("l_extendedprice") * F.col("l_discount")).cast("decimal(18,4)")).alias("disc"))  # noqa: E741  sums of decimals have no order
+    return o.join(l, o.o_orderkey == l.l_orderkey, "left").select(F.col("o_orderkey").alias("trip"), F.round(F.col("o_totalprice").cast("decimal(18,4)") - F.coalesce("disc", F.lit(0).cast("decimal(28,4)")), 2).cast("double").alias("cost"), F.when(F.col("disc").isNull(), "full").otherwise("discounted").alias("kind"))
 
 
 # --- fares and service ----------------------------------------------------------------
