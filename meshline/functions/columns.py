@@ -19,9 +19,14 @@ def clean(c: Column) -> Column:
     return F.when(~t.isin("", "nan", "None"), t)
 
 
+#: How stop ids name a unit's number, and how texts name the ends of a segment.
+UNIT_NUMBER = r"(?i)(?:ESC|ELE|ELV)(\d+)"
+SEGMENT = r"between\s+(.+?)(?:\s+to\s+|\s*,|\s*$)"
+
+
 def seq_in_stop(stop_id: Column) -> Column:
     """Number after ESC, ELE or ELV in a stop id, else null (STR-07)."""
-    return F.regexp_extract(F.coalesce(stop_id, F.lit("")), r"(?i)(?:ESC|ELE|ELV)(\d+)", 1).try_cast("int")
+    return F.regexp_extract(F.coalesce(stop_id, F.lit("")), UNIT_NUMBER, 1).try_cast("int")
 
 
 def seq_in_unit(unit: Column) -> Column:
@@ -34,7 +39,7 @@ def segment_key(text: Column) -> Column:
     """'... between X and Y [to|,] ...' -> 'x_y' with the two parts in order,
     spaces as underscores; null without 'between' (STR-08)."""
     norm = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
-    phrase = F.trim(F.regexp_extract(norm, r"between\s+(.+?)(?:\s+to\s+|\s*,|\s*$)", 1))
+    phrase = F.trim(F.regexp_extract(norm, SEGMENT, 1))
     parts = F.split(phrase, r"\s+and\s+", 2)
     return F.when(phrase != "", F.array_join(F.array_sort(F.transform(parts, lambda p: F.regexp_replace(F.trim(p), r"\s+", "_"))), "_"))
 

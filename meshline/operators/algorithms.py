@@ -3,8 +3,8 @@
 A projection is a set of directed pairs; an undirected one holds each pair both
 ways. Iterations aggregate before they shuffle and are written to the shared
 folder every round. Algorithms whose state is a whole graph for each source
-(betweenness, closeness) run one source a task group over a broadcast adjacency
-whose size is checked, and otherwise fall back to the joins in paths.py.
+(betweenness) run one source a task group over a broadcast adjacency whose size
+is checked, and beyond it level by level as joins, for blocks of sources.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshline.operators.graph import paired
 from meshline.operators.paths import levels, undirected
 from meshline.session import cut
 
@@ -34,8 +35,8 @@ def project(edges: DataFrame, orientation: str = "UNDIRECTED") -> DataFrame:
 
 def through(edges: DataFrame) -> DataFrame:
     """Pairs src < dst of sources that share a destination (GA-02)."""
-    left, right = edges.select("src", F.col("dst").alias("via")).distinct(), edges.select(F.col("src").alias("dst"), F.col("dst").alias("via")).distinct()
-    return left.join(right, "via").where("src < dst").select("src", "dst").distinct()
+    met = paired(edges.select(F.col("src").alias("n"), F.col("dst").alias("via")).distinct())
+    return met.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -117,12 +118,14 @@ def components(projection: DataFrame, vertices: DataFrame | None = None, most_ro
 
 
 def jaccard(projection: DataFrame, least: float = 0.0) -> DataFrame:
-    """(a, b, similarity) of a < b that share neighbours (GA-09)."""
-    size = degree(projection)
-    e = projection.select(F.col("src").alias("n"), F.col("dst").alias("via"))
-    met = e.select(F.col("n").alias("a"), "via").join(e.select(F.col("n").alias("b"), "via"), "via").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    sized = met.join(size.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a").join(size.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b")
-    return sized.select("a", "b", (F.col("shared") / (F.col("da") + F.col("db") - F.col("shared"))).alias("similarity")).where(F.col("similarity") > least)
+    """(a, b, similarity) of a < b that share neighbours (GA-09). Pairs whose
+    degrees alone keep them from `least` go before they are counted."""
+    e = projection.select(F.col("src").alias("n"), F.col("dst").alias("via")).join(degree(projection).select(F.col("id").alias("n"), F.col("degree").alias("d")), "n")
+    met = paired(e, "d")
+    if least > 0:
+        met = met.where(F.least("a_d", "b_d") > F.lit(least) * F.greatest("a_d", "b_d"))
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("a_d").alias("da"), F.first("b_d").alias("db"))
+    return counted.select("a", "b", (F.col("shared") / (F.col("da") + F.col("db") - F.col("shared"))).alias("similarity")).where(F.col("similarity") > least)
 
 
 def knn(projection: DataFrame, k: int = 10) -> DataFrame:
@@ -168,7 +171,10 @@ def adjacency(projection: DataFrame):
 def betweenness(projection: DataFrame, sources: DataFrame | None = None, symmetric: bool = True) -> DataFrame:
     """(id, score): Brandes' accumulation, sources dealt over the executors, the
     parts of each node summed (GA-05). symmetric: the projection is undirected,
-    so each pair is counted once. `sources` restricts the sources."""
+    so each pair is counted once. `sources` restricts the sources. Beyond the
+    bound of a broadcast adjacency, betweenness_by_joins()."""
+    if projection.count() > BROADCAST_EDGES:
+        return betweenness_by_joins(projection, sources, symmetric)
     ids = nodes_of(projection)
     held = adjacency(projection)
     kind = ids.schema["id"].dataType.simpleString()
@@ -201,6 +207,41 @@ def betweenness(projection: DataFrame, sources: DataFrame | None = None, symmetr
     return ids.join(sums, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def betweenness_by_joins(projection: DataFrame, sources: DataFrame | None = None, symmetric: bool = True, block_rows: int = 50_000_000) -> DataFrame:
+    """betweenness() as joins, for graphs of any size: for a block of sources,
+    levels of (source, node, paths) outward, then shares of paths inward level by
+    level. A block has as many sources as keep its rows near `block_rows`; its
+    parts are written before the next begins."""
+    e = cut(projection.select("src", "dst").distinct(), "edges")
+    ids = cut(nodes_of(e), "nodes")
+    wanted = ids if sources is None else ids.join(sources.select("id"), "id", "left_semi")
+    count = ids.count()
+    blocks = max(1, -(-wanted.count() * count // block_rows))
+    sums = None
+    for block in range(blocks):
+        at = cut(wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")), "level")
+        rounds, seen = [at], at.select("s", "v")
+        while True:
+            reached = at.join(e, at.v == e.src).groupBy("s", "dst").agg(F.sum("paths").alias("paths")).withColumnRenamed("dst", "v")
+            at = cut(reached.join(seen, ["s", "v"], "left_anti"), "level")
+            if at.isEmpty():
+                break
+            rounds.append(at)
+            seen = cut(seen.unionAll(at.select("s", "v")), "seen")
+        share = rounds[-1].withColumn("share", F.lit(0.0))
+        for k in range(len(rounds) - 1, 0, -1):
+            share = cut(share, "share")
+            part = share.where("v <> s").groupBy(F.col("v").alias("id")).agg(F.sum("share").alias("part"))
+            sums = cut(part if sums is None else sums.unionAll(part).groupBy("id").agg(F.sum("part").alias("part")), "sums")
+            before = rounds[k - 1].select(F.col("s").alias("s0"), F.col("v").alias("u"), F.col("paths").alias("paths0"))
+            over = share.join(e, share.v == e.dst).join(before, (F.col("s") == F.col("s0")) & (F.col("src") == F.col("u")))
+            given = over.groupBy("s0", "u").agg(F.sum(F.col("paths0") / F.col("paths") * (1 + F.col("share"))).alias("share"))
+            share = before.join(given, ["s0", "u"], "left").select(F.col("s0").alias("s"), F.col("u").alias("v"), F.col("paths0").alias("paths"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    if sums is None:
+        return ids.select("id", F.lit(0.0).alias("score"))
+    return ids.join(sums, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) / (2 if symmetric else 1)).alias("score"))
+
+
 def closeness(projection: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(id, score): nodes reached / sum of distances (GA-13)."""
     e = cut(projection, "edges")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -97,10 +99,25 @@ TRIM = (("provenance", ("FeedInfo", "TripUpdate", "ServiceAlert")), ("level", ("
 BUDGET, RESERVED = 6000, 30
 
 
-def within_budget(nodes: DataFrame, text: str, budget: int = BUDGET, reserved: int = RESERVED, trim: tuple = TRIM) -> DataFrame:
+def token_counter(path: str) -> Callable[[Column], Column]:
+    """Counts a text's tokens by a tokenizer file that every executor has, in
+    Arrow batches; the tokenizers library is loaded when the first batch comes."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
+        return pd.Series([len(x.ids) for x in found])
+
+    return count
+
+
+def within_budget(nodes: DataFrame, text: str, budget: int = BUDGET, reserved: int = RESERVED, trim: tuple = TRIM, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
     """Rows that fit a token budget (RT-13): groups are given up in the order of
     `trim`, in each the farthest hop first; anchors (hop 0) and labels of no
-    group stay. A token is counted as four characters, rounded up. Adds
+    group stay. `tokens` counts a text's tokens, as token_counter() does; without it a
+    token is four characters, rounded up. Adds
     `tokens`, `used` (running sum in order of importance): sums of the range
     partitions before, and the sum inside, so no task holds all rows."""
     group = F.lit(len(trim))
@@ -108,7 +125,7 @@ def within_budget(nodes: DataFrame, text: str, budget: int = BUDGET, reserved: i
         group = F.when(F.col("label").isin(*labels), k).otherwise(group)
     importance = F.when(F.col("hop") == 0, len(trim) + 1).otherwise(group)
     order = (F.desc("__importance"), F.col("hop"), F.col("id"))
-    rated = nodes.withColumn("tokens", F.ceil(F.length(F.col(text)) / 4)).withColumn("__importance", importance)
+    rated = nodes.withColumn("tokens", tokens(F.col(text)) if tokens else F.ceil(F.length(F.col(text)) / 4)).withColumn("__importance", importance)
     placed = cut(rated.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "budget").withColumn("__part", F.shiftright("__at", 33))
     totals = placed.groupBy("__part").agg(F.sum("tokens").alias("n"))  # a row for each range partition
     before = totals.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))

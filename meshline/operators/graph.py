@@ -74,6 +74,15 @@ class PropertyGraph:
         }
 
 
+    def with_ends(self, kind: str, start: str, end: str) -> DataFrame:
+        """Edges of a kind with the properties of their nodes as ``start__...``
+        and ``end__...``, and an element id (AR-07)."""
+        _, source, target = self.edges[kind]
+        named = lambda label, name: self.node(label).select(*(F.col(f"`{c}`").alias(f"{name}__{c}") for c in self.node(label).columns))
+        e = self.edge(kind).withColumn("element_id", F.concat(F.lit(f"{kind}:"), F.col("src").cast("string"), F.lit("->"), F.col("dst").cast("string")))
+        return e.join(named(start or source, "start"), F.col("src") == F.col("start__id")).join(named(end or target, "end"), F.col("dst") == F.col("end__id"))
+
+
 class Match:
     """A pattern over a graph. Bound variables become columns ``<name>__<property>``."""
 
@@ -190,11 +199,27 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return keep_first(df, keys, order, last=True)
 
 
+#: Neighbours of one node that meet in one task; a node with more is dealt out to several.
+HUB = 5_000
+
+
+def paired(e: DataFrame, *more: str) -> DataFrame:
+    """(via, a, b) for a < b of the rows (n, via) that share `via`, and
+    a_<column>, b_<column> of `more`. A hub's rows are dealt out by a hash on the
+    left and repeated on the right, as many times as it has HUB rows, so no task
+    takes a hub alone."""
+    parts = e.groupBy("via").agg(F.ceil(F.count("*") / F.lit(HUB)).alias("parts")).where("parts > 1")
+    spread = e.join(parts, "via", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    side = lambda name: [F.col("n").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in more)]
+    left = spread.select("via", F.pmod(F.hash("n"), F.col("parts")).cast("long").alias("part"), *side("a"))
+    right = spread.select("via", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), *side("b"))
+    return left.join(right, ["via", "part"]).where("a < b").drop("part")
+
+
 def common_neighbours(edges: DataFrame, via: str = "dst", of: str = "src") -> DataFrame:
     """(a, b, shared) for pairs a < b that share a neighbour (JN-08)."""
     e = edges.select(F.col(of).alias("n"), F.col(via).alias("via")).distinct()
-    left, right = e.select(F.col("n").alias("a"), "via"), e.select(F.col("n").alias("b"), "via")
-    return left.join(right, "via").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return paired(e).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def contract(links: DataFrame, pivots: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from meshline.operators import expand as X
 from meshline.operators import resolve as R
 from meshline.operators.validate import guard_sql, run_checks, targets_exist
 from meshline.plans import checks, interruption, physical, schedule
-from meshline.plans.binding import query, table
+from meshline.plans.binding import graph, query, table
 from meshline.session import scratch_path
 from meshline.sources import feeds, realtime, sinks
 
@@ -521,3 +521,8 @@ def rt10_expansion_of_domains(spark, d):
     rows = [(name, how.hops, how.rows_per_hop) for name, how in sorted(X.DOMAINS.items()) if name in ("accessibility", "delay_propagation", "transfer_impact")]
     return spark.createDataFrame(rows, "domain string, hops int, rows_per_hop int")
 
+
+@query("SELECT 'IN_ZONE:' || s_suppkey || '->' || s_nationkey AS element_id, 'IN_ZONE' AS type, s_name AS start_name, n_name AS end_name FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def ar07_ends_of_edges(spark, d):
+    e = graph(spark, d).with_ends("IN_ZONE", "Route", "Zone")
+    return e.select("element_id", F.lit("IN_ZONE").alias("type"), F.col("start__name").alias("start_name"), F.col("end__name").alias("end_name"))

@@ -180,3 +180,24 @@ def test_near_equals_cross_join(spark):
     want = {(r["a"], r["b"]) for r in every.where("m <= 1500").collect()}
     got = [(r["a"], r["b"]) for r in G.near(df, df, 1500.0).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("block_rows", [50_000_000, 60])
+def test_betweenness_by_joins(both, block_rows):
+    want = {r["id"]: r["score"] for r in A.betweenness(both).collect()}
+    got = {r["id"]: r["score"] for r in A.betweenness_by_joins(both, block_rows=block_rows).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_betweenness_beyond_the_adjacency(both, monkeypatch):
+    want = {r["id"]: r["score"] for r in A.betweenness(both).collect()}
+    monkeypatch.setattr(A, "BROADCAST_EDGES", 5)
+    assert {r["id"]: pytest.approx(r["score"]) for r in A.betweenness(both).collect()} == want
+
+
+def test_hubs_are_dealt_out(spark, both, monkeypatch):
+    pairs = lambda: sorted(map(tuple, A.jaccard(both, 0.2).collect()))
+    want, linked = pairs(), sorted(map(tuple, A.through(both).collect()))
+    monkeypatch.setattr(G, "HUB", 2)
+    assert pairs() == want and sorted(map(tuple, A.through(both).collect())) == linked
+    assert A.jaccard(both, 0.2).count() == A.jaccard(both).where("similarity > 0.2").count() > 0

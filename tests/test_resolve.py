@@ -74,3 +74,21 @@ def test_expand_and_budget(spark, rows):
     assert "name 0" in text and "name 3" not in text and "1 nodes left out" in text
     assert "no context" in X.serialise(X.Subgraph(failed="no anchors"), "text")
     assert rows(X.provenance(sub, edges, ("B",))) == [(2, 3, "B"), (3, 4, "B")]
+
+
+def test_budget_by_a_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from meshline.operators import expand as X
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["short", "a somewhat longer line of text", "", "ünïcode wörds and 12345 numbers"]
+    nodes = spark.createDataFrame([(i, "Trip", 1, t) for i, t in enumerate(texts)], "id int, label string, hop int, name string")
+    rows = {r["id"]: r for r in X.within_budget(nodes, "name", 500, 30, tokens=X.token_counter(path)).collect()}
+    library = Tokenizer.from_file(path)
+    used = 0
+    for i, t in enumerate(texts):
+        used += len(library.encode(t, add_special_tokens=False).ids)
+        assert rows[i]["used"] == used
+    assert X.within_budget(nodes, "name", 33, 30, tokens=X.token_counter(path)).count() < 4
