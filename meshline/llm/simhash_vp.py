@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from meshline.llm.common import begin, exact, id_and_text, pieces, small_batches
-from meshline.session import cut
+from meshline.session import cut, discard
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
 #: Fingerprints that the tree is grown on, at least and at most; fingerprints that a shard should hold, at least and at most; the most shards; rows that a leaf compares all with all.
@@ -221,6 +221,10 @@ def spanning_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 if a == b and close.sum() == len(close) or not close.any():
                     continue
                 left, right = own[a : a + LEAF], own[b : b + LEAF]
+                i, j = np.nonzero(close)
+                if len(i) <= 2 * LEAF:  # few pairs, those of rows with themselves included
+                    union.join(left[i], right[j])
+                    continue
                 x = np.array([union.root(i) for i in left.tolist()])
                 y = np.array([union.root(i) for i in right.tolist()])
                 while True:
@@ -274,7 +278,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Rounds of large-star and small-star; each keeps components as they are and
     ends with stars. A round is written to the shared folder, and the signature
-    of its links (count and sum of hashes) tells when nothing changes."""
+    of its links (count and sum of hashes) tells when nothing changes. Rounds
+    grow with the logarithm of a component's length; more than `most_rounds` are
+    an error, never a partial result."""
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -288,6 +294,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         after = cut(star(star(now, True), False), "stars")
         signature = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        discard(now)
         now = after
         if signature == seen or not signature[0]:
             break
