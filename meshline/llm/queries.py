@@ -65,5 +65,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_orc, op2_license_scan, op3_langid_cnn, op4_quality_lr, op5_bpe, op6_warc, op7_simhash_vp, op8_html_tree, op9_hilbert, op10_spaced_seed, pipeline)}
 
-#: Hashes, models and encoders are beyond SQL here; tests/llm holds each query against a brute-force version.
-ORACLES: dict[str, str] = {}
+#: Base 32 of a SHA-1 in hex: five hex digits are four of its digits.
+BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(sha, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '')"
+
+#: The other hashes, models and encoders are beyond SQL here; tests/llm holds each query against a brute-force version.
+ORACLES: dict[str, str] = {
+    "op6_warc": (
+        "WITH k AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages) "
+        f"SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to FROM k"
+    )
+}

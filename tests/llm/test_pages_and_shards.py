@@ -41,6 +41,18 @@ def test_archive_equals_plain_one(pages):
     assert got == plain_archive([tuple(r) for r in pages.collect()])
 
 
+def test_archive_equals_its_sql(spark):
+    import duckdb
+
+    from meshline.llm import queries
+
+    c = duckdb.connect()
+    c.sql("CREATE VIEW pages AS FROM '/root/testdata/sf0.01/pages.parquet'")
+    want = c.sql(queries.ORACLES["op6_warc"])
+    rows = queries.op6_warc(spark, "/root/testdata/sf0.01")
+    assert want.columns == rows.columns and Counter(want.fetchall()) == Counter(tuple(r) for r in rows.collect())
+
+
 def test_empty_pages(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
