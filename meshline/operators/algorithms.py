@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from meshline.operators.graph import paired
 from meshline.operators.paths import levels, undirected
-from meshline.session import cut
+from meshline.session import cut, discard
 
 #: Edges of an adjacency that is sent to every executor: 16 bytes each.
 BROADCAST_EDGES = 2_000_000
@@ -52,12 +52,14 @@ def pagerank(projection: DataFrame, rounds: int = 20, damping: float = 0.85, ver
     """(id, score), not normalised: (1 - d) + d * sum(score / outdegree) (GA-04)."""
     ids = cut(vertices.select("id").distinct() if vertices is not None else nodes_of(projection), "nodes")
     out = cut(projection.join(degree(projection).select(F.col("id").alias("src"), "degree"), "src"), "weighted")
-    rank = ids.withColumn("score", F.lit(1.0 - damping))
+    rank, held = ids.withColumn("score", F.lit(1.0 - damping)), None
     for k in range(rounds):
         given = out.join(rank, out.src == rank.id).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("given"))
         rank = ids.join(given, ids.id == given.dst, "left").select("id", (F.lit(1.0 - damping) + F.lit(damping) * F.coalesce("given", F.lit(0.0))).alias("score"))
         if k % 5 == 4:
             rank = cut(rank, "rank")
+            discard(held)
+            held = rank
     return rank
 
 
@@ -67,12 +69,14 @@ def article_rank(projection: DataFrame, rounds: int = 20, damping: float = 0.85)
     d = degree(projection)
     mean = float(projection.count()) / max(1, ids.count())
     out = cut(projection.join(d.select(F.col("id").alias("src"), "degree"), "src"), "weighted")
-    rank = ids.withColumn("score", F.lit(1.0 - damping))
+    rank, held = ids.withColumn("score", F.lit(1.0 - damping)), None
     for k in range(rounds):
         given = out.join(rank, out.src == rank.id).groupBy("dst").agg(F.sum(F.col("score") / (F.col("degree") + mean)).alias("given"))
         rank = ids.join(given, ids.id == given.dst, "left").select("id", (F.lit(1.0 - damping) + F.lit(damping) * F.coalesce("given", F.lit(0.0))).alias("score"))
         if k % 5 == 4:
             rank = cut(rank, "rank")
+            discard(held)
+            held = rank
     return rank
 
 
@@ -106,7 +110,8 @@ def components(projection: DataFrame, vertices: DataFrame | None = None, most_ro
     now = cut(projection.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct(), "links")
     seen = None
     for _ in range(most_rounds):
-        now = cut(star(star(now, True), False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+        before, now = now, cut(star(star(now, True), False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+        discard(before)
         signature = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if signature == seen or not signature[0]:
             break
@@ -257,7 +262,8 @@ def label_propagation(projection: DataFrame, rounds: int = 10) -> DataFrame:
     for _ in range(rounds):
         votes = e.join(now, e.dst == now.id).groupBy("src", "community").agg(F.count("*").alias("n"))
         best = votes.groupBy("src").agg(F.max_by("community", F.struct("n", (-F.col("community")).alias("low"))).alias("community"))
-        now = cut(best.select(F.col("src").alias("id"), "community"), "labels")
+        before, now = now, cut(best.select(F.col("src").alias("id"), "community"), "labels")
+        discard(before)
     return now
 
 
@@ -283,12 +289,13 @@ def strong_components(projection: DataFrame, most_rounds: int = 100) -> DataFram
 
 def spread(colours: DataFrame, edges: DataFrame, most_rounds: int) -> DataFrame:
     """Each node's largest colour among the nodes that reach it."""
-    now = cut(colours, "colours")
+    now = held = cut(colours, "colours")
     for _ in range(most_rounds):
         given = edges.join(now, edges.src == now.id).groupBy("dst").agg(F.max("colour").alias("given"))
         after = cut(now.join(given, now.id == given.dst, "left").select("id", F.greatest("colour", F.coalesce("given", "colour")).alias("colour"), (F.coalesce("given", "colour") > F.col("colour")).alias("moved")), "colours")
         moved = not after.where("moved").isEmpty()
-        now = after.drop("moved")
+        discard(held)
+        now, held = after.drop("moved"), after
         if not moved:
             return now
     raise RuntimeError("colours did not settle")

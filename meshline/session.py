@@ -58,7 +58,19 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     there, and a lost executor costs no recomputation of what came before."""
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["scratch_path_of_cut"] = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Remove the table behind a DataFrame that cut() gave, once nothing reads
+    it any more; others are left alone. Loops call it as a round replaces the
+    one before, so the shared folder holds a few rounds at a time."""
+    path = None if df is None else df.__dict__.get("scratch_path_of_cut")
+    if path:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:

@@ -1,4 +1,5 @@
 import json
+import os
 import shutil
 import zipfile
 
@@ -131,3 +132,14 @@ def test_shared_folder_off_local_masters(monkeypatch):
     with pytest.raises(RuntimeError, match="checkpoint"):
         session.shared_dir(Session())
     assert session.is_local("local[4]") and session.is_local("local") and not session.is_local("local-cluster[2,1,512]")
+
+
+def test_discard_removes_what_cut_wrote(spark):
+    held = session.cut(spark.range(3).toDF("id"), "gone")
+    path = held.__dict__["scratch_path_of_cut"].removeprefix("file://")
+    assert held.count() == 3 and os.path.isdir(path)
+    session.discard(held.where("id > 0"))
+    assert os.path.isdir(path)
+    session.discard(held)
+    session.discard(None)
+    assert not os.path.exists(path)
