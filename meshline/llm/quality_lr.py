@@ -91,6 +91,7 @@ def train(rows: list[tuple[bytes, int]], steps: int = 120, rate: float = 2.0, de
     sparse = [gathered(raw) for raw, _ in fit]
     index, value = np.concatenate([i for i, _ in sparse]), np.concatenate([v for _, v in sparse])
     bounds = np.cumsum([0] + [len(i) for i, _ in sparse])
+    del sparse  # as large as what was made of it
     row = np.repeat(np.arange(len(fit)), np.diff(bounds))
     y = np.array([y for _, y in fit], np.float64)
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
@@ -116,8 +117,8 @@ def gathered(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         if len(g):
             found, n = np.unique(g, return_counts=True)
             slots.append(found.astype(np.int64) + (f << BITS))
-            values.append(n / len(g))
-    return (np.concatenate(slots), np.concatenate(values)) if slots else (np.zeros(0, np.int64), np.zeros(0))
+            values.append((n / len(g)).astype(np.float32))
+    return (np.concatenate(slots), np.concatenate(values)) if slots else (np.zeros(0, np.int64), np.zeros(0, np.float32))
 
 
 def platt(kept: list[tuple[float, int]]) -> tuple[float, float]:
