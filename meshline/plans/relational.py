@@ -465,8 +465,10 @@ def dt01_service_time(spark, d):
     s = (F.col("l_orderkey") * 37 + F.col("l_linenumber") * 611) % 100000
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     text = F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s % 3600 / 60)), two(s % 60))
-    at = C.service_seconds(text)
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("stop"), at.cast("long").alias("seconds"), C.clock(at).alias("clock"))
+    # a step for each expression that the next uses more than once, so that it is computed once
+    texts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("stop"), text.alias("text"))
+    parsed = texts.select("trip", "stop", C.service_seconds(F.col("text")).cast("long").alias("seconds"))
+    return parsed.select("trip", "stop", "seconds", C.clock(F.col("seconds")).alias("clock"))
 
 
 @query(
